@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fingerprints, language_id, license_scan, packing
+from . import chat_format, exact_dedup, fingerprints, language_id, license_scan, mixing, packing, toxicity
 
-_MODULES = (language_id, chat_format, exact_dedup, packing, fingerprints, license_scan)
+_MODULES = (language_id, chat_format, exact_dedup, packing, mixing, fingerprints, license_scan, toxicity)
 
 
 def queries() -> dict:
