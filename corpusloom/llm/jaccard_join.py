@@ -116,7 +116,7 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     if bits > FILTER_BITS:
         return rows.join(ids.distinct(), "doc_id", "left_semi")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    maps = ids.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    maps = ids.select(F.bitmap_bucket_number(bit + 1).alias("part"), F.bitmap_bit_position(bit + 1).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
     whole = np.zeros(max(1, bits // 32768) * 4096, np.uint8)
     for r in maps:
         whole[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
