@@ -33,8 +33,8 @@ SAMPLE = 20_000
 EVIDENCE = 30
 #: A bucket tells two domains apart if their log-odds are so many standard errors from nothing; others weigh nothing.
 TELLING = 4.0
-RIDGE = 1e-3
-STEPS, TOLERANCE, CLOSE = 40, 1e-5, 5e-4
+RIDGE = 2e-4
+STEPS, TOLERANCE, CLOSE = 60, 1e-6, 3e-4
 DOMAINS = ("prose", "noisy", "toxic")
 #: Share of tokens that each domain shall have.
 TARGETS = {"prose": 0.86, "noisy": 0.08, "toxic": 0.06}
