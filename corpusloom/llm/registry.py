@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, mixing, packing, toxicity
+from . import chat_format, exact_dedup, fingerprints, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, toxicity
 
-_MODULES = (language_id, chat_format, exact_dedup, packing, mixing, fingerprints, license_scan, jaccard_join, toxicity)
+_MODULES = (language_id, chat_format, exact_dedup, packing, mixing, fingerprints, license_scan, line_dedup, jaccard_join, toxicity)
 
 
 def queries() -> dict:
