@@ -131,7 +131,7 @@ def needed(pattern: str, ignore_case: bool = False) -> Need:
     if re.search(r"\(\?(<?[=!])|\\[1-9]", pattern):
         raise ValueError("lookaround and backreferences are not supported")
     try:
-        tree = parser.parse(pattern)
+        tree = parser.parse(_without_posix(pattern))
     except (re.error, OverflowError):
         return ALL
     own, need = _sequence(tree, ignore_case or bool(tree.state.flags & re.I))
@@ -162,10 +162,15 @@ def contains(column: Column, need: Need) -> Column:
 POSIX = {"alpha": "A-Za-z", "digit": "0-9", "alnum": "A-Za-z0-9", "upper": "A-Z", "lower": "a-z", "space": r"\t\n\x0B\f\r ", "punct": r"!-/:-@\[-`{-~", "xdigit": "0-9A-Fa-f", "word": "0-9A-Za-z_", "cntrl": r"\x00-\x1F\x7F", "blank": r" \t", "print": " -~", "graph": "!-~"}
 
 
+def _without_posix(pattern: str) -> str:
+    for name, chars in POSIX.items():
+        pattern = pattern.replace(f"[:{name}:]", chars)
+    return pattern
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern for Java: lines end at \\n alone, and folding is Unicode's."""
     needed(pattern, ignore_case)
-    for name, chars in POSIX.items():
-        pattern = pattern.replace(f"[:{name}:]", chars)
+    pattern = _without_posix(pattern)
     fold = ignore_case or bool(re.match(r"\(\?[a-z]*i", pattern))
-    return ("(?diu)" if ignore_case else "(?du)" if fold else "(?d)") + pattern.replace(r"\z", r"\z")
+    return ("(?diu)" if ignore_case else "(?du)" if fold else "(?d)") + pattern

@@ -21,7 +21,7 @@ def read_files(spark: SparkSession, root: str, repo: str, tracked: DataFrame | N
     rows = rows.filter(~vcs_internal(F.col("rel_path")))
     if tracked is not None:
         rows = rows.join(tracked.filter(F.col("mode").isin("100644", "100755")).select("rel_path"), "rel_path", "left_semi")
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     rows = rows.select(F.lit(repo).alias("repo"), "rel_path", "abs_path", F.regexp_replace(text, "^﻿", "").alias("content"))
     return rows.select("repo", "rel_path", "abs_path", git_blob_sha1(F.col("content")).alias("blob_sha"), "content")
 
