@@ -26,46 +26,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, materialise, table
 
 WORD = re.compile(r"[^\W_]+")
-SAMPLE, TERMS, BLOCK, NEIGHBOURS = 6000, 512, 32, 15
+SAMPLE, TERMS, BLOCK, NEIGHBOURS = 6000, 256, 32, 15
 LEAST_DF = 4
+#: Chi-square that a word must reach: the 1 % level after correction for about a hundred thousand words.
+TELLING = 28.4
+#: Blocks that are looked into first; the threshold that they give leaves few others.
+FIRST_BLOCKS = 4
 
 
 def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def choose_terms(texts: list[Counter], toxic: np.ndarray, n: int = TERMS) -> list[str]:
-    """Words with the highest chi-square against the label, at least LEAST_DF examples each."""
-    df, pos = Counter(), Counter()
-    for words, y in zip(texts, toxic, strict=True):
-        df.update(words.keys())
-        if y:
-            pos.update(words.keys())
-    names = sorted(w for w, c in df.items() if c >= LEAST_DF)
-    if not names:
-        return []
-    total, yes = len(texts), int(toxic.sum())
-    a = np.array([pos[w] for w in names], float)
-    d = np.array([df[w] for w in names], float)
-    bottom = d * (total - d) * yes * (total - yes)
-    chi = total * (a * total - d * yes) ** 2 / np.maximum(bottom, 1)
-    order = np.lexsort((np.arange(len(names)), -chi))[:n]
-    return [names[i] for i in order if chi[i] > 10.83]  # the 0.1 % level of chi-square
+def choose_terms(found: list[tuple[str, int, int]], total: int, toxic: int, n: int = TERMS) -> list[str]:
+    """Words with the highest chi-square against the label. found: word, examples that have it, toxic ones among them."""
+    found = sorted(found)
+    a, d = (np.array([f[i] for f in found], float) for i in (2, 1))
+    bottom = d * (total - d) * toxic * (total - toxic)
+    chi = total * (a * total - d * toxic) ** 2 / np.maximum(bottom, 1)
+    order = np.lexsort((np.arange(len(found)), -chi))[:n]
+    return [found[i][0] for i in order if chi[i] > TELLING]
 
 
 @dataclass
 class Index:
-    """Block-max inverted index. postings: of each term, examples in block order and weights; starts: where each block's begin."""
+    """Block-max inverted index. postings: a term's weights by block and place in the block, so any blocks of a term's
+    list are read at once (terms and examples are bounded, so is the table); block_max: each list's highest by block."""
 
     terms: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    starts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
+    postings: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def vector(self, counts: Counter | dict) -> tuple[np.ndarray, np.ndarray]:
@@ -81,31 +76,35 @@ class Index:
         rows.sort(key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), tuple(vectors[i][0]), int(ids[i])))  # alike ones share a block
         self.ids, self.toxic = ids[rows], toxic[rows]
         blocks = -(-len(rows) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        self.postings = np.zeros((len(self.terms), blocks, BLOCK))
         for k, i in enumerate(rows):
-            for t, w in zip(*vectors[i], strict=True):
-                lists[t].append((k, w))
-        self.postings = [(np.array([k for k, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
-        self.starts = np.array([np.searchsorted(k, np.arange(blocks + 1) * BLOCK) for k, _ in self.postings]).reshape(len(lists), blocks + 1)
-        self.block_max = np.zeros((len(lists), blocks))
-        for t, (k, w) in enumerate(self.postings):
-            np.maximum.at(self.block_max[t], k // BLOCK, w)
+            at, weight = vectors[i]
+            self.postings[at, k // BLOCK, k % BLOCK] = weight
+        self.block_max = self.postings.max(axis=2) if blocks else np.zeros((len(self.terms), 0))
         return self
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """Cosine and position of the k nearest examples with cosine over 0; ties by id."""
+        """Cosine and position of the k nearest examples with cosine over 0; ties by id.
+
+        Blocks go by their upper bounds. The first few give a k-th best cosine; every other block that may reach it is
+        looked into, the rest cannot hold a nearer example.
+        """
         bounds = weight @ self.block_max[at]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] + 1e-9 < -best[-1][0]):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(at, weight, strict=True):
-                s, e = self.starts[t, b], self.starts[t, b + 1]
-                if s < e:
-                    scores[self.postings[t][0][s:e] - b * BLOCK] += w * self.postings[t][1][s:e]
-            hits = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((-round(float(scores[i]), 9), int(self.ids[b * BLOCK + i]), int(b * BLOCK + i)) for i in hits)])[:k]
+        while len(order):
+            some, order = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
+            if best:  # the second round takes all that is left
+                some, order = np.concatenate([some, order]), order[:0]
+            scores = np.round(np.tensordot(weight, self.postings[at[:, None], some[None, :]], 1), 9)
+            floor = -best[-1][0] if len(best) == k else 0.0
+            b, i = np.nonzero((scores > 0) & (scores >= floor))
+            place = some[b] * BLOCK + i
+            top = np.lexsort((self.ids[place], -scores[b, i]))[:k]
+            best = sorted([*best, *((-float(scores[b[x], i[x]]), int(self.ids[place[x]]), int(place[x])) for x in top)])[:k]
+            if len(best) == k:
+                order = order[bounds[order] + 1e-8 >= -best[-1][0]]
         return [(-s, i) for s, _, i in best]
 
 
@@ -161,19 +160,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bags = [Counter(tokens(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [list(b) for b in bags], "n": [list(b.values()) for b in bags]})
-
-    rows = got.mapInPandas(count, "doc_id long, toxic int, words array<string>, n array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    rows = [r for i, r in enumerate(rows) if not i or r["doc_id"] != rows[i - 1]["doc_id"]]
-    toxic = np.array([r["toxic"] for r in rows], float)
-    if not len(rows) or not 0 < toxic.sum() < len(rows):
+            bags = [sorted(Counter(tokens(t)).items()) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [[w for w, _ in b] for b in bags], "n": [[c for _, c in b] for b in bags]})
+
+    rows = got.mapInPandas(count, "doc_id long, toxic int, words array<string>, n array<int>")
+    # An example's copies would be counted as so many witnesses: of equal ones the least doc_id stays.
+    rows = materialise(rows.withColumn("sha", F.sha2(F.array_join("words", " ").cast("binary"), 256)), "examples")
+    alone = rows.groupBy("sha", "toxic").agg(F.min("doc_id").alias("doc_id")).drop("sha")
+    rows = rows.join(alone, ["doc_id", "toxic"], "left_semi").dropDuplicates(["doc_id", "toxic"]).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0)
+    sums = {r["toxic"]: r["count"] for r in rows.filter("NOT held").groupBy("toxic").count().collect()}
+    if not sums.get(0) or not sums.get(1):
         return Model(Index({}, np.zeros(0)), np.zeros(3), 0.0)
-    bags = [dict(zip(r["words"], r["n"], strict=True)) for r in rows]
-    ids = np.array([r["doc_id"] for r in rows])
-    held = np.random.default_rng(5).random(len(rows)) < 0.25
-    terms = {w: i for i, w in enumerate(choose_terms([b for b, h in zip(bags, held, strict=True) if not h], toxic[~held]))}
+    frequent = rows.filter("NOT held").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df") >= LEAST_DF)
+    terms = {w: i for i, w in enumerate(choose_terms([tuple(r) for r in frequent.collect()], sum(sums.values()), sums[1]))}
+    wanted = F.array(*map(F.lit, terms)).cast("array<string>")
+    counts = F.filter(F.arrays_zip("words", "n"), lambda x: F.array_contains(wanted, x["words"]))
+    own = rows.select("doc_id", "toxic", "held", counts.alias("bag")).orderBy("doc_id").collect()  # the bounded sample, of TERMS words
+    bags = [{x["words"]: x["n"] for x in r["bag"]} for r in own]
+    ids, held = np.array([r["doc_id"] for r in own]), np.array([r["held"] for r in own])
+    toxic = np.array([r["toxic"] for r in own], float)
     n_docs, df = document_frequencies(docs, terms)
     model = Model(Index(terms, np.log((1 + n_docs) / (1 + df)) + 1), np.zeros(3), 0.0)
     model.index.build([b for b, h in zip(bags, held, strict=True) if not h], ids[~held], toxic[~held])
