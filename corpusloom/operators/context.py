@@ -61,3 +61,37 @@ def numbered_lines(lines: DataFrame, by: str) -> DataFrame:
     """Source lines with their numbers, as one text a document."""
     shown = F.transform(F.sort_array(F.collect_list(F.struct("line", "line_text"))), lambda x: F.concat(F.lpad(x["line"].cast("string"), 6, " "), F.lit("\t"), x["line_text"]))
     return lines.groupBy(by).agg(F.array_join(shown, "\n").alias("source"))
+
+
+def expand_block(lines: list[str], first: int, last: int, pad: int = CONTEXT_LINES) -> tuple[int, int]:
+    """A hit's block, lines from 1: padded, then grown to where its braces close or open, or over its indentation.
+
+    Braces left open in the hit are followed down to the line that closes them, closed ones up to the line that opens
+    them. A balanced hit grows over the neighbouring lines that are blank or indented as much, blank ends cut off, and
+    takes in the less indented line above. A hit at the margin is only padded.
+    """
+    n = len(lines)
+    first = min(max(first, 1), n)
+    last = min(max(last, first), n)
+    low, high = max(1, first - pad), min(n, last + pad)
+    net = [0]
+    for x in lines:
+        net.append(net[-1] + x.count("{") - x.count("}"))
+    hit = net[last] - net[first - 1]
+    if hit > 0:
+        return low, max(high, next((i for i in range(last, n + 1) if net[i] <= net[first - 1]), n))
+    if hit < 0:
+        return min(low, next((i for i in range(first, 0, -1) if net[last] >= net[i - 1]), 1)), high
+    blank = lambda i: not lines[i - 1].strip()
+    indent = lambda i: len(lines[i - 1]) - len(lines[i - 1].lstrip(" \t"))
+    least = min((indent(i) for i in range(first, last + 1) if not blank(i)), default=0)
+    if least:
+        a = next((i + 1 for i in range(first - 1, 0, -1) if not blank(i) and indent(i) < least), 1)
+        b = next((i - 1 for i in range(last + 1, n + 1) if not blank(i) and indent(i) < least), n)
+        while a < b and blank(a):
+            a += 1
+        while b > a and blank(b):
+            b -= 1
+        a -= a > 1 and not blank(a - 1) and indent(a - 1) < least
+        low, high = min(low, a), max(high, b)
+    return low, high

@@ -70,3 +70,35 @@ def train_reranker(x: np.ndarray, y: np.ndarray, epochs: int = 200, rate: float
             w -= rate * (g * z[i] + l2 * w)
             b -= rate * g
     return w / sd, float(b - (w / sd) @ mean)
+
+
+def battery(terms: DataFrame, per_bucket: int = 20, seed: int = 20260622) -> DataFrame:
+    """bucket, pattern: search queries drawn from a corpus's own terms (term, df), by a seeded hash.
+
+    Frequent and rare terms, terms shorter than a gram, case-folded and non-ASCII ones, and regular expressions made of
+    them. The tests search each by the planned and by the unplanned way.
+    """
+    long = F.length("term") >= 3
+    ascii_ = F.rlike("term", F.lit(r"^[\x00-\x7F]+$"))
+    kinds = (
+        ("common", long & (F.col("df") >= 20), F.col("term")),
+        ("rare", long & (F.col("df") <= 2), F.col("term")),
+        ("short", ~long, F.col("term")),
+        ("folded", long & ascii_, F.concat(F.lit("(?i)"), "term")),
+        ("unicode", ~ascii_, F.col("term")),
+        ("regex", long & ascii_, F.concat(F.substring("term", 1, 2), F.lit("[a-z]*"), F.expr("substring(term, -1, 1)"))),
+    )
+    parts = [terms.filter(c).select(F.lit(b).alias("bucket"), p.alias("pattern"), F.xxhash64("term", F.lit(b), F.lit(seed)).alias("h")).orderBy("h", "pattern").limit(per_bucket) for b, c, p in kinds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("bucket", "pattern")
+
+
+def nearest_rank(values: DataFrame, by: str, column: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """Percentiles by bucket: the value at place int(p n / 100) of the sorted ones, from counts of distinct values."""
+    per = values.groupBy(by, column).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(by).orderBy(column)
+    run = per.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
+    return run.groupBy(by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at(p), F.col(column))).alias(f"p{p}") for p in percents], F.max(column).alias("max"))

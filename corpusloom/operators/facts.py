@@ -62,3 +62,49 @@ def contract_paths(bindings: DataFrame, facts: DataFrame, caller: str, symbol_id
     direct = hit.filter(F.col("caller_id") == caller).select(F.lit(None).cast("string").alias("step"), "callee_id", "via_interface")
     one = bindings.filter(F.col("caller_id") == caller).select(F.col("callee_id").alias("step")).distinct()
     return direct.unionByName(one.join(hit, F.col("step") == F.col("caller_id")).select("step", "callee_id", "via_interface")).distinct()
+
+
+#: Rule and target roles of each kind of domain fact; whether it carries a lifetime.
+DOMAIN_KINDS = (
+    ("di_registration", "csharp-framework-v1", "service implementation", True),
+    ("di_registration_if_absent", "csharp-framework-v5", "service implementation", True),
+    ("di_keyed_registration", "csharp-keyed-di-v1", "service implementation key_type registration_api", True),
+    ("di_keyed_registration_configuration", "csharp-keyed-di-v1", "service implementation key_type registration_api", True),
+    ("di_open_generic_registration_configuration", "csharp-open-di-v1", "service_template implementation_template", True),
+    ("storage_context_registration", "csharp-framework-v3", "service implementation", True),
+    ("storage_entity", "csharp-framework-v1", "entity", False),
+    ("storage_table", "csharp-framework-v1", "entity", False),
+    ("storage_entity_use", "csharp-framework-v2", "entity", False),
+    ("storage_entity_mapping", "csharp-framework-v2", "entity", False),
+    ("message_publish", "csharp-framework-v1", "message", False),
+    ("message_consumer", "csharp-framework-v1", "message", False),
+    ("message_response", "csharp-framework-v5", "message", False),
+    ("message_publish_configuration", "csharp-framework-v4", "message", False),
+    ("message_event_configuration", "csharp-framework-v4", "message", False),
+    ("message_request_configuration", "csharp-framework-v6", "request response_1 response_2", False),
+    ("endpoint_post_configuration", "csharp-endpoint-v1", "handler", False),
+    ("mediator_send_configuration", "csharp-mediatr-v1", "request response", False),
+    ("mediator_assembly_scan_configuration", "csharp-mediatr-scan-v1", "assembly_marker", False),
+    ("consumer_namespace_scan_configuration", "csharp-masstransit-scan-v1", "namespace_marker", False),
+    ("activity_namespace_scan_configuration", "csharp-masstransit-scan-v1", "namespace_marker", False),
+    ("routing_slip_activity_configuration", "csharp-routing-slip-v1", "activity arguments address_field formatter_api", False),
+)
+LIFETIMES = ("singleton", "scoped", "transient")
+
+
+def bad_domain_facts(facts: DataFrame) -> DataFrame:
+    """fact_id, reason of facts (fact_id, kind, rule, lifetime, route_pattern, targets of (role, symbol_id)) that break a rule."""
+    rules = facts.sparkSession.createDataFrame([(k, r, roles.split(), life) for k, r, roles, life in DOMAIN_KINDS], "kind string, want_rule string, roles array<string>, has_lifetime boolean")
+    met = facts.join(F.broadcast(rules), "kind", "left")  # the fixed table above
+    route = F.coalesce(F.trim("route_pattern"), F.lit("")) != ""
+    reason = (
+        F.when(F.col("want_rule").isNull(), "kind")
+        .when(~F.col("rule").eqNullSafe(F.col("want_rule")), "rule")
+        .when(F.col("has_lifetime") & ~F.coalesce(F.col("lifetime").isin(*LIFETIMES), F.lit(False)), "lifetime")
+        .when(~F.col("has_lifetime") & (F.coalesce("lifetime", F.lit("")) != ""), "lifetime")
+        .when((F.col("kind") == "endpoint_post_configuration") != route, "route")
+        .when(~F.transform("targets", lambda t: t["role"]).eqNullSafe(F.col("roles")), "roles")
+        .when(F.exists("targets", lambda t: ~t["symbol_id"].startswith("symbol:") | (F.length(t["symbol_id"]) != 71)), "target")
+        .when((F.col("kind") == "storage_context_registration") & (F.col("targets")[0]["symbol_id"] != F.get(F.col("targets"), F.lit(1))["symbol_id"]), "target")
+    )
+    return met.withColumn("reason", reason).filter("reason IS NOT NULL").select("fact_id", "reason")

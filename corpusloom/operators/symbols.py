@@ -15,7 +15,7 @@ _MODIFIERS = r"(?:(?:public|private|protected|internal|static|sealed|abstract|pa
 #: Definition patterns of each extension: kind and expression whose group 1 is the name.
 DEFINITIONS = {
     "go": [("func", r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*[\[(]"), ("type", r"^type\s+([A-Za-z_]\w*)\s"), ("const", r"^const\s+([A-Za-z_]\w*)\b"), ("var", r"^var\s+([A-Za-z_]\w*)\b")],
-    "cs": [("type", rf"^\s*{_MODIFIERS}(?:class|interface|struct|enum|record)\s+([A-Za-z_]\w*)"), ("func", rf"^\s*{_MODIFIERS}[\w<>\[\],.?]+\s+([A-Za-z_]\w*)\s*(?:<[^<>()]*>)?\s*\([^;]*$")],
+    "cs": [("type", rf"^\s*{_MODIFIERS}(?:class|interface|struct|enum|record)\s+([A-Za-z_]\w*)"), ("func", rf"^\s*{_MODIFIERS}(?!return\b|await\b|else\b|throw\b|using\b|new\b)[\w<>\[\],.?]+\s+([A-Za-z_]\w*)\s*(?:<[^<>()]*>)?\s*\([^;{{]*?\)\s*(?:where\b[^{{]*)?(?:\{{|=>|$)")],
     "ts": [("type", rf"^\s*{_MODIFIERS}(?:class|interface|enum|type)\s+([A-Za-z_]\w*)"), ("func", rf"^\s*{_MODIFIERS}function\s*\*?\s*([A-Za-z_]\w*)"), ("func", rf"^\s+{_MODIFIERS}([A-Za-z_]\w*)\s*\([^()]*\)\s*[:{{]")],
     "sql": [("func", r"^CREATE\s+(?:OR\s+(?:REPLACE|ALTER)\s+)?(?:PROCEDURE|PROC|FUNCTION|TRIGGER)\s+(?:\[?\w+\]?\.)?\[?(\w+)\]?"), ("type", r"^CREATE\s+(?:OR\s+(?:REPLACE|ALTER)\s+)?(?:TABLE|VIEW|TYPE|INDEX|SEQUENCE)\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:\[?\w+\]?\.)?\[?(\w+)\]?")],
     "cfm": [("func", r"<cffunction\b[^>]*\bname\s*=\s*[\"'](\w+)"), ("func", r"^\s*(?:public|private|remote)?\s*function\s+(\w+)\s*\("), ("type", r"<cfcomponent\b[^>]*\bname\s*=\s*[\"'](\w+)")],

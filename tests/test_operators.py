@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import tokenize
-from corpusloom.operators import context, corpus, evaluation, facts, graph, grep, incremental, manifests, rank, routes, spans, symbols, vectors
+from corpusloom.operators import context, corpus, evaluation, facts, graph, grep, incremental, manifests, rank, relations, routes, spans, symbols, vectors
 from corpusloom.sources.files import Snapshots, read_files
 
 
@@ -235,3 +235,84 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest(spark, docs("x").schema, src, str(tmp_path / "store"), str(tmp_path / "check"))
     assert sorted(r.content for r in spark.read.parquet(str(tmp_path / "store")).select("content").collect()) == ["a", "b", "c"]
+
+
+BILLING = """public interface IRefund { }
+public class Refund : Base, IRefund {
+  private readonly Store store;
+  public Refund(Store store, int n) { }
+  public void Run() { db.Orders.First(); // db.Cards
+    bus.Publish<Submitted>(x); var s = "db.Cards"; }
+}
+public class Base { }
+public class Store { public DbSet<Order> Orders { get; set; } }
+public class Order { }
+public class Submitted { }
+public class Consumer : IConsumer<Submitted> { }
+"""
+WEB = """import x from 'y';
+@Component({ selector: 'app-card', template: `<app-badge></app-badge>` })
+export class Card extends Panel implements OnInit { }
+@Component({ selector: 'app-badge' })
+export class Badge { }
+export class Panel { }
+"""
+
+
+def test_relations(spark):
+    fs = files(spark, ("r", "a.cs", "1", BILLING), ("r", "b.ts", "2", WEB), ("r", "c.html", "3", "<app-card></app-card>"), ("q", "d.cs", "4", "class Base { }\nclass C : Base { }"))
+    got = {(r.src, r.dst, r.type, r.tier) for r in relations.relation_edges(fs).collect()}
+    assert {("Refund", "IRefund", "implements", 2), ("Refund", "Base", "extends", 2), ("Refund", "Base", "extends", 1), ("C", "Base", "extends", 2)} <= got
+    assert {("Refund", "Store", "injects", 2), ("Refund", "Order", "queries", 2), ("Refund", "Submitted", "publishes", 2), ("Consumer", "Submitted", "consumes", 2)} <= got
+    assert {("Card", "Badge", "renders", 2), ("c.html", "Card", "renders", 2), ("Card", "Panel", "extends", 2)} <= got
+    assert not any(t == "queries" and d != "Order" for _, d, t, _ in got)
+    inside = {(r.src, r.dst) for r in relations.containment(symbols.symbols(fs)).collect()}
+    assert ("Refund", "Run") in inside
+    names = spark.createDataFrame([("Submitted",), ("Orders",)], "name string")
+    uses = {(r.name, r.use, r.tier) for r in relations.verified_uses(fs, names).collect()}
+    assert ("Orders", "identifier", 1) in uses and ("Submitted", "type", 2) in uses
+
+
+def test_verify_use():
+    text = "import a.Save\nSave(1)\nvar x = new Save()\n// Save(2)\n"
+    at = [i for i in range(len(text)) if text.startswith("Save", i)]
+    assert [relations.verify_use("x.cs", text, "Save", i) for i in at] == ["import", "call", "type", "masked"]
+
+
+def test_expand_block():
+    code = "func a() {\n  x\n  y\n  z\n  w\n  v\n}\nfunc b() {\n}".split("\n")
+    assert context.expand_block(code, 1, 1, 0) == (1, 7) and context.expand_block(code, 7, 7, 0) == (1, 7)
+    assert context.expand_block(code, 3, 3, 0) == (1, 6) and context.expand_block(["a", "b", "c"], 2, 2, 0) == (2, 2)
+    assert context.expand_block(code, 3, 3, 1) == (1, 6) and context.expand_block(["a {"], 1, 1, 3) == (1, 1)
+
+
+def test_domain_facts(spark):
+    own = "symbol:" + "a" * 64
+    rows = [
+        ("ok", "di_registration", "csharp-framework-v1", "scoped", None, [("service", own), ("implementation", own)]),
+        ("kind", "other", "csharp-framework-v1", None, None, []),
+        ("rule", "message_publish", "csharp-framework-v4", None, None, [("message", own)]),
+        ("lifetime", "di_registration", "csharp-framework-v1", "once", None, [("service", own), ("implementation", own)]),
+        ("roles", "message_publish", "csharp-framework-v1", None, None, [("entity", own)]),
+        ("route", "endpoint_post_configuration", "csharp-endpoint-v1", None, " ", [("handler", own)]),
+        ("target", "message_publish", "csharp-framework-v1", None, None, [("message", "symbol:x")]),
+    ]
+    df = spark.createDataFrame(rows, "fact_id string, kind string, rule string, lifetime string, route_pattern string, targets array<struct<role: string, symbol_id: string>>")
+    assert {(r.fact_id, r.reason) for r in facts.bad_domain_facts(df).collect()} == {(k, k) for k in ("kind", "rule", "lifetime", "roles", "route", "target")}
+
+
+def test_battery_and_planned_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    terms = rank.term_stats(rank.with_tokens(docs)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = evaluation.battery(terms, 2).collect()
+    assert {r.bucket for r in rows} == {"common", "rare", "short", "folded", "unicode", "regex"}
+    assert [tuple(r) for r in rows] == [tuple(r) for r in evaluation.battery(terms.repartition(3), 2).collect()]
+    fs = corpus.files_of(docs)
+    lines = corpus.lines_of(fs, "doc_id").cache()
+    for r in rows[::3]:
+        from corpusloom.functions.regexplan import java
+
+        plain = lines.filter(F.rlike("line_text", F.lit(java(r.pattern)))).select("doc_id", "line").distinct().count()
+        assert grep.regex(fs, r.pattern).count() == plain
+    df = spark.createDataFrame([("a", x) for x in range(1, 101)], "b string, ms int")
+    assert tuple(evaluation.nearest_rank(df, "b", "ms").first()) == ("a", 100, 51, 96, 100)
