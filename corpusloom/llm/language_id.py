@@ -31,7 +31,7 @@ DIMENSIONS = 16
 EPOCHS = 12
 BATCH = 32
 RATE = 4.0
-MAX_THRESHOLD = 0.5
+MAX_THRESHOLD = 0.4
 UNDETERMINED = "und"
 _LETTER = 1 << 16  # code points beyond are looked up one by one
 
