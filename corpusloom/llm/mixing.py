@@ -4,7 +4,7 @@ A naive Bayes classifier over hashed words, fitted on a bounded sample of the la
 posteriors over domains (prose, noisy, toxic: see DOMAINS). Nonnegative rates r, expected copies of each document, are
 then fitted so that the expected tokens of domain k, the sum of r * tokens * p_k, match target_k * budget:
 
-    minimise  1/2 sum_k (T_k / N - target_k * budget / N)^2 + RIDGE / 2 sum_d (n_d / N) (r_d - 1)^2   over r >= 0
+    minimise  1/2 sum_k (T_k / N - target_k * budget / N)^2 + RIDGE / 2 sum_d (n_d / N) (r_d - budget)^2   over r >= 0
 
 by accelerated projected gradient, preconditioned by n_d / N. Posteriors are rounded to hundredths; documents with equal
 ones get equal rates, so their tokens are summed first, and each step is one aggregate over these cells (of which
@@ -35,6 +35,7 @@ EVIDENCE = 30
 TELLING = 4.0
 RIDGE = 2e-4
 STEPS, TOLERANCE, CLOSE = 60, 1e-6, 3e-4
+CELLS_A_TASK = 20_000
 DOMAINS = ("prose", "noisy", "toxic")
 #: Share of tokens that each domain shall have.
 TARGETS = {"prose": 0.86, "noisy": 0.08, "toxic": 0.06}
@@ -106,16 +107,16 @@ def _dot(p: Column, e: Column) -> Column:
     return F.aggregate(F.zip_with(p, e, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
-def rate(p: Column, residuals: list[list[float]]) -> tuple[Column, Column]:
-    """A document's rate, and its extrapolated rate, after the steps with these residuals."""
-    one = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def rate(p: Column, residuals: list[list[float]], budget: float = 1.0) -> tuple[Column, Column]:
+    """A document's rate, and its extrapolated rate, after the steps with these residuals; all begin at the budget."""
+    one = F.struct(F.lit(float(budget)).alias("r"), F.lit(float(budget)).alias("y"))
     if not residuals:
-        return F.lit(1.0), F.lit(1.0)
+        return F.lit(float(budget)), F.lit(float(budget))
     steps = F.split(F.lit(";".join(",".join(f"{x:.9g}" for x in [t / (t + 3), *e]) for t, e in enumerate(residuals))), ";")
     steps = F.transform(steps, lambda s: F.split(s, ",").cast("array<double>"))
 
     def step(s: Column, x: Column) -> Column:
-        new = F.greatest(F.lit(0.0), s["y"] - _dot(p, F.slice(x, 2, len(DOMAINS))) - RIDGE * (s["y"] - 1.0))
+        new = F.greatest(F.lit(0.0), s["y"] - _dot(p, F.slice(x, 2, len(DOMAINS))) - RIDGE * (s["y"] - float(budget)))
         return F.struct(new.alias("r"), (new + F.get(x, F.lit(0)) * (new - s["r"])).alias("y"))
 
     state = F.aggregate(steps, one, step)
@@ -125,15 +126,18 @@ def rate(p: Column, residuals: list[list[float]]) -> tuple[Column, Column]:
 def fit_rates(weighed: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0) -> list[list[float]]:
     """Residual vectors of the steps. weighed: n_tokens and p (posteriors) of all documents; budget: of tokens, as a share of theirs."""
     cells = materialise(weighed.groupBy("p").agg(F.sum("n_tokens").alias("n")), "cells")
+    # as few tasks as cells need: there are about 5,000 of three domains at most, and every step reads them
+    cells = cells.coalesce(1 + cells.count() // CELLS_A_TASK).cache()
     total = cells.agg(F.sum("n")).first()[0] or 0
     residuals: list[list[float]] = []
     goal = [targets[k] * budget for k in DOMAINS]
     while total and len(residuals) < STEPS:
-        _, y = rate(F.col("p"), residuals)
+        _, y = rate(F.col("p"), residuals, budget)
         got = cells.select("n", "p", y.alias("y")).agg(*[F.sum(F.col("n") * F.col("y") * F.get("p", F.lit(k))).alias(f"t{k}") for k in range(len(DOMAINS))]).first()
         residuals.append([t / total - g for t, g in zip(got, goal, strict=True)])
         if max(map(abs, residuals[-1])) < CLOSE or len(residuals) > 1 and max(abs(a - b) for a, b in zip(residuals[-1], residuals[-2], strict=True)) < TOLERANCE:
             break
+    cells.unpersist()
     return residuals
 
 
@@ -147,7 +151,7 @@ def weigh(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """doc_id, n_tokens, p_<domain>, domain, rate and copies of every row of docs."""
     model = fit_classifier(docs, labels)
     weighed = materialise(docs.select("doc_id", (estimated_tokens(F.col("text")) + 1).cast("long").alias("n_tokens"), model.posteriors(F.col("text")).alias("p")), "posteriors")
-    r, _ = rate(F.col("p"), fit_rates(weighed, targets, budget))
+    r, _ = rate(F.col("p"), fit_rates(weighed, targets, budget), budget)
     best = F.array_position("p", F.array_max("p")).cast("int")
     out = weighed.withColumn("rate", r)
     return out.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(DOMAINS)], F.element_at(F.array(*[F.lit(x) for x in DOMAINS]), best).alias("domain"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
@@ -160,7 +164,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     weighed = materialise(docs.select((estimated_tokens(F.col("text")) + 1).cast("long").alias("n_tokens"), model.posteriors(F.col("text")).alias("p")), "posteriors")
     residuals = fit_rates(weighed, targets, budget)
     posterior = docs.withColumn(p, model.posteriors(F.col("text")))
-    r, _ = rate(F.col(p), residuals)
+    r, _ = rate(F.col(p), residuals, budget)
     many = posterior.withColumn(n, copies(r, F.col("doc_id"))).filter(F.col(n) > 0)
     return many.withColumn(p, F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
