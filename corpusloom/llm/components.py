@@ -55,5 +55,6 @@ def components(links: DataFrame) -> DataFrame:
         drop_table(edges)
         edges = after
         if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return materialise(nodes, "components")
         seen = state

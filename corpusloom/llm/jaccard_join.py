@@ -22,7 +22,7 @@ in links and has a null component. Extra columns are not read. component_id is t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -82,8 +82,8 @@ def scan_sets(docs: DataFrame, k: int) -> DataFrame:
         sketch = np.zeros(SKETCH, np.int64)
         for pdf in batches:
             sets = [shingle_set(t, k) for t in pdf["text"]]
-            if sets:
-                sketch += np.bincount(np.concatenate(sets).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
+            for some in range(0, len(sets), 500):
+                sketch += np.bincount(np.concatenate(sets[some : some + 500]).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "d1": halves[:, 0], "d2": halves[:, 1], "chunk": -1, "counts": None})
@@ -107,14 +107,14 @@ def whole_sketch(scanned: DataFrame) -> np.ndarray:
     return out
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) of docs with an id among ids, and a few others perhaps: by a broadcast bit filter of
-    FILTER_BITS at most, without a shuffle of texts, or by a join where the ids are too many for it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    count = ids.count()
-    bits = 1 << max(15, (16 * count).bit_length())
+def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable[[pd.DataFrame], pd.DataFrame]]:
+    """Rows of docs, and what a Python worker applies to a batch of them to leave doc_id and text of those with an id among
+    ids, and perhaps of a few others: a broadcast bit filter of FILTER_BITS at most, so that texts are neither shuffled
+    nor sent to Python twice. Where ids are too many for it, rows are joined with them first."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    bits = 1 << max(15, (16 * ids.count()).bit_length())
     if bits > FILTER_BITS:
-        return rows.join(ids.distinct(), "doc_id", "left_semi")
+        return rows.join(ids.distinct(), "doc_id", "left_semi"), lambda pdf: pdf
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     maps = ids.select(F.bitmap_bucket_number(bit + 1).alias("part"), F.bitmap_bit_position(bit + 1).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
     whole = np.zeros(max(1, bits // 32768) * 4096, np.uint8)
@@ -122,23 +122,23 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
         whole[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(whole)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = pdf["bit"].to_numpy(np.int64)
-            yield pdf.loc[(shared.value[at >> 3] >> (at & 7)) & 1 == 1, ["doc_id", "text"]]
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["bit"].to_numpy(np.int64)
+        return pdf.loc[(shared.value[at >> 3] >> (at & 7)) & 1 == 1, ["doc_id", "text"]]
 
-    return rows.filter("doc_id IS NOT NULL").withColumn("bit", bit).mapInPandas(run, "doc_id long, text string")
+    return rows.withColumn("bit", bit), pick
 
 
 PREFIX = "shingle long, n int, doc_id long, at int, sig binary"
 
 
-def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, threshold: int) -> DataFrame:
-    """A row for each prefix shingle of each document."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+def prefixes(docs: DataFrame, ids: DataFrame, sketch: np.ndarray, k: int, threshold: int) -> DataFrame:
+    """A row for each prefix shingle of each document with one of the ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    rows, pick = among(docs, ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in map(pick, batches):
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = shingle_set(text, k)
@@ -167,7 +167,7 @@ def passing(a: dict, b: dict, threshold: int) -> np.ndarray:
     ok = (100 * low >= threshold * high) & (a["at"] + b["at"] <= spare)
     if ok.any():
         at = np.flatnonzero(ok)
-        apart = (a["sig"][at] - b["sig"][at]) & 255
+        apart = (a["sig"][at] - (b["sig"] if len(b["sig"]) == 1 else b["sig"][at])) & 255
         ok[at] = np.minimum(apart, 256 - apart).sum(axis=1) <= spare[at]
     return ok
 
@@ -247,14 +247,20 @@ def candidates(rows: DataFrame, threshold: int, budget: int) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long, shingle long, n int, at int, sig binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that are links, by their whole sets."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id and own (its whole set) of the documents with these ids: texts are read once for all rounds."""
+    rows, pick = among(docs, ids)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in map(pick, batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "own": [shingle_set(t, k).tobytes() for t in pdf["text"]]})
 
+    return materialise(rows.mapInPandas(sets, "doc_id long, own binary").join(ids, "doc_id", "left_semi"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that are links, by their whole sets."""
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
@@ -264,37 +270,39 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataF
                 ok.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    own = among(docs, ids).mapInPandas(sets, "doc_id long, own binary")
-    own = materialise(own.join(ids, "doc_id", "left_semi"), "sets")
-    met = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
+    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
     return met.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
-def jaccard_links(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, d1, d2), class representatives (d1, d2, rep), and links between representatives (a, b)."""
+def jaccard_links(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, d1, d2), class representatives (d1, d2, rep), links between them (a, b), and their components."""
     scanned = materialise(scan_sets(docs, k), "scanned")
     rows = scanned.filter("chunk < 0").select("doc_id", "n", "d1", "d2")
     classes = materialise(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
-    got = materialise(candidates(prefixes(among(docs, reps), whole_sketch(scanned), k, threshold), threshold, 0), "candidates")
+    got = materialise(candidates(prefixes(docs, reps, whole_sketch(scanned), k, threshold), threshold, 0), "candidates")
+    ids = got.filter("a >= 0").select(F.col("a").alias("doc_id")).unionByName(got.select(F.col("b").alias("doc_id")))
+    sets = whole_sets(docs, materialise(ids.distinct(), "ids"), k)
     tested = materialise(got.filter("a >= 0").select("a", "b").distinct(), "pairs")
-    links, budget = materialise(verified(tested, docs, k, threshold), "links"), 4
+    links, budget = materialise(verified(tested, sets, threshold), "links"), 4
+    own = components(links)
     while not (left := got.filter("a < 0")).isEmpty():
-        own = components(links)
         left = left.select("shingle", "n", F.col("b").alias("doc_id"), "at", "sig").join(own, F.col("doc_id") == F.col("node"), "left").select("shingle", "n", "doc_id", "at", "sig", F.coalesce("component", "doc_id").alias("part"))
         got = materialise(candidates(left, threshold, budget), "candidates")
         new = materialise(got.filter("a >= 0").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
-            links = materialise(links.unionByName(verified(new, docs, k, threshold)), "links")
+            more = materialise(verified(new, sets, threshold), "links")
             tested = materialise(tested.unionByName(new), "tested")
+            if not more.isEmpty():
+                own = components(own.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+                links = links.unionByName(more)
         budget *= 4
-    return rows, classes, links
+    return rows, classes, links, own
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row; n_links: of its class to classes with other sets."""
-    rows, classes, links = jaccard_links(docs, k, threshold)
-    own = components(links)
+    rows, classes, links, own = jaccard_links(docs, k, threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
     named = classes.join(own, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
     named = materialise(named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links")), "named")
