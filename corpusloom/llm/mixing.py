@@ -160,13 +160,12 @@ def weigh(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0) -> DataFrame:
     """The rows of docs, each as often as its rate says, with docs' own columns."""
     model = fit_classifier(docs, labels)
-    n, p = fresh("n_tokens", docs.columns), fresh("p", docs.columns)
+    name = fresh("copies", docs.columns)
     weighed = materialise(docs.select((estimated_tokens(F.col("text")) + 1).cast("long").alias("n_tokens"), model.posteriors(F.col("text")).alias("p")), "posteriors")
     residuals = fit_rates(weighed, targets, budget)
-    posterior = docs.withColumn(p, model.posteriors(F.col("text")))
-    r, _ = rate(F.col(p), residuals, budget)
-    many = posterior.withColumn(n, copies(r, F.col("doc_id"))).filter(F.col(n) > 0)
-    return many.withColumn(p, F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
+    # bound in a one-element array, the posteriors are computed once a row, not once a step
+    r = F.get(F.transform(F.array(model.posteriors(F.col("text"))), lambda p: rate(p, residuals, budget)[0]), F.lit(0))
+    return docs.select("*", F.explode(F.array_repeat(F.lit(1), copies(r, F.col("doc_id")).cast("int"))).alias(name)).select(*docs.columns)
 
 
 def op5_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
