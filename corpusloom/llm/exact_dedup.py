@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise, table
@@ -101,13 +101,13 @@ def _bytes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, 32)
 
 
-INDEX = "bucket int, n long, sizes array<long>, bits binary, digests binary, best_len binary, best_id binary, rows binary"
+INDEX = "bucket int, n long, sizes array<long>, bits binary, digests binary, best_len binary, best_id binary, best_row binary, rows binary"
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """Distinct digests with their best row and number of rows. Partial sums make a hot group one row per task."""
-    best = F.struct((-F.col("len")).alias("neg"), F.coalesce("doc_id", F.lit(MAX_ID)).alias("id"))
-    return rows.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("rows")).select("digest", F.col("best.neg").alias("neg"), F.col("best.id").alias("id"), "rows")
+    best = F.struct((-F.col("len")).alias("neg"), F.coalesce("doc_id", F.lit(MAX_ID)).alias("id"), F.col("row").alias("row"))
+    return rows.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("rows")).select("digest", F.col("best.neg").alias("neg"), F.col("best.id").alias("id"), F.col("best.row").alias("row"), "rows")
 
 
 def _bucketed(groups: DataFrame, buckets: int) -> DataFrame:
@@ -122,7 +122,7 @@ def build_index(history: DataFrame, buckets: int) -> DataFrame:
         mph, order = PerfectHash.build(_bytes(pdf["digest"]))
         pdf = pdf.iloc[order]
         column = lambda name: pdf[name].to_numpy(np.int64).tobytes()
-        return pd.DataFrame([{"bucket": pdf["bucket"].iloc[0], "n": len(pdf), "sizes": mph.sizes, "bits": np.packbits(mph.bits.astype(bool)).tobytes(), "digests": mph.digests.tobytes(), "best_len": column("neg"), "best_id": column("id"), "rows": column("rows")}])
+        return pd.DataFrame([{"bucket": pdf["bucket"].iloc[0], "n": len(pdf), "sizes": mph.sizes, "bits": np.packbits(mph.bits.astype(bool)).tobytes(), "digests": mph.digests.tobytes(), "best_len": column("neg"), "best_id": column("id"), "best_row": column("row"), "rows": column("rows")}])
 
     return _bucketed(history, buckets).groupBy("bucket").applyInPandas(one, INDEX)
 
@@ -132,28 +132,29 @@ def merge(index: DataFrame, later: DataFrame, buckets: int) -> DataFrame:
 
     def one(slots: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         digests = _bytes(new["digest"]) if len(new) else np.zeros((0, 32), np.uint8)
-        neg, ids, rows = (new[c].to_numpy(np.int64).copy() for c in ("neg", "id", "rows"))
+        neg, ids, row_ids, rows = (new[c].to_numpy(np.int64).copy() for c in ("neg", "id", "row", "rows"))
         if not len(slots):
-            return pd.DataFrame({"digest": list(new["digest"]), "neg": neg, "id": ids, "rows": rows, "known": False})
+            return pd.DataFrame({"digest": list(new["digest"]), "neg": neg, "id": ids, "row": row_ids, "rows": rows, "known": False})
         row = slots.iloc[0]
         n, sizes = int(row["n"]), [int(x) for x in row["sizes"]]
         bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(sizes)).astype(np.int64)
         mph = PerfectHash(sizes, bits, np.frombuffer(row["digests"], np.uint8).reshape(n, 32))
-        old_neg, old_id, old_rows = (np.frombuffer(row[c], np.int64).copy() for c in ("best_len", "best_id", "rows"))
+        old_neg, old_id, old_row, old_rows = (np.frombuffer(row[c], np.int64).copy() for c in ("best_len", "best_id", "best_row", "rows"))
         slot = mph.lookup(digests)
         member = np.flatnonzero(slot >= 0)
         at = slot[member]
         better = (neg[member] < old_neg[at]) | ((neg[member] == old_neg[at]) & (ids[member] < old_id[at]))
         old_rows[at] += rows[member]
-        old_neg[at[better]], old_id[at[better]] = neg[member][better], ids[member][better]
+        for old, mine in ((old_neg, neg), (old_id, ids), (old_row, row_ids)):
+            old[at[better]] = mine[member][better]
         other = np.flatnonzero(slot < 0)
-        out = [pd.DataFrame({"digest": [d.tobytes() for d in mph.digests], "neg": old_neg, "id": old_id, "rows": old_rows, "known": True})]
+        out = [pd.DataFrame({"digest": [d.tobytes() for d in mph.digests], "neg": old_neg, "id": old_id, "row": old_row, "rows": old_rows, "known": True})]
         if len(other):
-            out.append(pd.DataFrame({"digest": [digests[i].tobytes() for i in other], "neg": neg[other], "id": ids[other], "rows": rows[other], "known": False}))
+            out.append(pd.DataFrame({"digest": [digests[i].tobytes() for i in other], "neg": neg[other], "id": ids[other], "row": row_ids[other], "rows": rows[other], "known": False}))
         return pd.concat(out)
 
     later = _bucketed(later, buckets)
-    return index.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInPandas(one, "digest binary, neg long, id long, rows long, known boolean")
+    return index.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInPandas(one, "digest binary, neg long, id long, row long, rows long, known boolean")
 
 
 def exact_dedup(docs: DataFrame, is_history: Column | None = None, bucket: int = BUCKET) -> DataFrame:
@@ -164,7 +165,7 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, bucket: int =
     on the mark. Of equal normalised texts the row with the most code points, then the smallest doc_id, stays.
     """
     is_history = F.xxhash64("doc_id") % 2 == 0 if is_history is None else is_history
-    narrow = materialise(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("len"), F.coalesce(is_history, F.lit(False)).alias("old")), "digests")
+    narrow = materialise(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("len"), F.coalesce(is_history, F.lit(False)).alias("old"), F.monotonically_increasing_id().alias("row")), "digests")
     history = materialise(grouped(narrow.filter("old")), "history")
     buckets = max(16, -(-history.count() // bucket))
     index = materialise(build_index(history, buckets), "index")
@@ -172,17 +173,13 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, bucket: int =
 
 
 def _labelled(narrow: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per input row. The join's hot keys are split by AQE: its other side has one row per digest."""
-    groups = groups.withColumnRenamed("rows", "group_size").withColumnRenamed("digest", "key")
+    """One row per input row. The join's hot keys are split by AQE: its other side has one row per digest.
+
+    Rows were numbered as the narrow table was written, so of repeated rows of a winner one alone is kept.
+    """
+    groups = groups.select(F.col("digest").alias("key"), "id", F.col("row").alias("best_row"), F.col("rows").alias("group_size"), "known")
     rows = narrow.join(groups, narrow["digest"] == groups["key"])
-    winner = (-F.col("len") == F.col("neg")) & (F.coalesce("doc_id", F.lit(MAX_ID)) == F.col("id"))
-    # Of repeated rows of the winner one is kept. Other rows are dealt by their own ids, so a hot group is no hot window.
-    once = F.row_number().over(Window.partitionBy("digest", "winner", F.when(F.col("winner"), F.lit(0)).otherwise(F.xxhash64("doc_id"))).orderBy("len"))
-    return (
-        rows.withColumn("winner", winner)
-        .withColumn("once", once)
-        .select("doc_id", F.when(F.col("id") < MAX_ID, F.col("id")).alias("keep_id"), "group_size", (F.col("winner") & (F.col("once") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("known").alias("in_history"))
-    )
+    return rows.select("doc_id", F.when(F.col("id") < MAX_ID, F.col("id")).alias("keep_id"), "group_size", (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("known").alias("in_history"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
