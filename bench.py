@@ -30,6 +30,8 @@ def main() -> None:
             t = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best or 1e9, time.time() - t)
+            if best > 10:
+                break
         took[name] = round(best, 3)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rpartition("sf")[2], "cpus": cpus}))
     spark.stop()

@@ -26,7 +26,9 @@ def run_tokens(run: Column) -> Column:
     parts = subtokens(run)
     joins = lambda ps: F.flatten(F.transform(F.sequence(F.lit(1), F.size(ps)), lambda i: F.transform(F.sequence(i, F.least(i + MAX_JOIN - 1, F.size(ps))), lambda j: F.lower(F.array_join(F.slice(ps, i, j - i + 1), "")))))
     bound = F.transform(F.array(parts), joins)  # a one-element array: the cut is computed once
-    return F.array_distinct(F.concat(F.get(bound, F.lit(0)), F.array(F.lower(run))))
+    whole = F.array_distinct(F.concat(F.get(bound, F.lit(0)), F.array(F.lower(run))))
+    # without a capital after the first character a run is its only subtoken
+    return F.when(F.rlike(run, F.lit(r".\p{Lu}")), whole).otherwise(F.array(F.lower(run)))
 
 
 def tokenize(text: Column) -> Column:
