@@ -11,7 +11,8 @@ The last ranks order the suffixes. Suffixes with equal ranks of a round are an L
 LCP intervals: from the longest rounds to the shortest, every suffix is moved into the interval that shares 2^k lines
 more, if it is not the first of it. The interval's first suffix stays behind and its copy goes along as a witness, so
 each suffix ends in the deepest interval in which an earlier one precedes it: its longest repeated run, unlimited in
-length. A run of MIN_WORDS words or more is deleted; the first copy of its lines is never among them.
+length. A run of MIN_WORDS words or more is deleted, that is any run that is not blank; the first copy of its lines is
+never among them.
 
 Null and empty texts are one empty line. Empty lines have no words; they join runs but make none. Rows with equal
 doc_id and text are one document. Extra columns are not read. An empty table gives no rows.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, fresh, materialise, partitions, table
 
-MIN_WORDS = 20
+#: One: a line in a script without spaces is one word, and only runs of blank lines are left.
+MIN_WORDS = 1
 MAX_ID = (1 << 63) - 1
 KEY = ["doc", "t1", "t2"]
 

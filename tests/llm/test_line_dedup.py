@@ -55,6 +55,15 @@ def test_equals_brute_force(spark, seed):
     assert removed(spark, rows, 5) == want
 
 
+def test_short_runs(spark):
+    """Later copies go however short they are, in scripts without spaces too; only blank runs stay."""
+    line, kanji = "click here to read the rest of this article", "続きを読むにはここをクリックしてください"
+    rows = [(1, f"{line}\none"), (2, f"two\n\n{line}"), (3, f"{kanji}\nthree"), (4, f"four\n{kanji}"), (5, f"five\n\n{line}\n{kanji}\n"), (6, "ok\n\nsix"), (7, "seven\n\nok")]
+    want = {d: x for d, x in brute(rows, 1).items() if x}
+    gone = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc: r.removed for r in gone.collect()} == want == {2: [2], 4: [1], 5: [1, 2, 3], 7: [2]}
+
+
 def test_clean(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"one\n{passage}\nx", "c"), (2, f"{passage}\ntwo", "c"), (3, "clean", "c"), (4, None, "c"), (None, f"{passage}\nthree", "c"), (2, f"{passage}\ntwo", "c")]
