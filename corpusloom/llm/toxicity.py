@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Examples are a bounded sample of labelled rows. Their TERMS most telling words (chi-square of presence against the
-label) are the index's terms; document frequencies are counted over all documents. Postings are dealt into blocks of
+Examples are a bounded sample of labelled rows. The cosine is not over whole vocabularies: the TERMS most telling words
+(chi-square of presence against the label) are the index's terms, and examples without any are not indexed (README has
+figures); document frequencies are counted over all documents. Postings are dealt into blocks of
 BLOCK examples, alike examples together, and each term keeps its highest weight in each block. A text's blocks are
 looked into in the order of their upper bounds, until the next bound is below the K-th best cosine: so the K nearest
 are exact, ties going to the smaller doc_id. A neighbour votes with 1 / (distance + 0.05). A logistic curve, fitted on
