@@ -14,6 +14,8 @@ its least doc_id, so groups of copies cost one row. The classes are joined as fo
    growing number each, until every such pair was tested: so groups of near copies never make all pairs, and none of
    the links that could join two components is missed.
 4. Distinct pairs are verified once, on the whole sets.
+5. Components that a dense shingle touches have more links than were tested. Their classes are dealt into salted blocks;
+   each pair of blocks meets in one worker, which counts each class's links there exactly and keeps no pair.
 
 Null and empty texts have no shingles and link with nothing; texts with fewer words than a shingle have their whole
 sequence as one. Rows with equal doc_id are one document with any of its texts. A row with a null doc_id takes no part
@@ -40,6 +42,8 @@ CHUNK = 1 << 14
 #: Bits of a filter of ids that is broadcast, at most; beyond, ids are joined.
 FILTER_BITS = 1 << 26
 DENSE = 24
+#: Classes of a block whose links are counted, about; columns of the product that counts them.
+BLOCK, COLUMNS = 256, 4096
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -274,15 +278,58 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
-def jaccard_links(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, d1, d2), class representatives (d1, d2, rep), links between them (a, b), and their components."""
+def counted(members: DataFrame, threshold: int) -> DataFrame:
+    """rep, count: exact links of each member (doc_id, component, own) within its component, by blocks."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["own"]]
+        n, block, ids = np.array([len(x) for x in sets]), pdf["block"].to_numpy(), pdf["doc_id"].to_numpy()
+        low, high = np.flatnonzero(block == pdf["low"].iloc[0]), np.flatnonzero(block == pdf["high"].iloc[0])
+        _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = many[column] > 1
+        column, row = (np.cumsum(many > 1) - 1)[column][keep], np.repeat(np.arange(len(sets)), n)[keep]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        both = np.zeros((len(low), len(high)))
+        for start in range(0, int((many > 1).sum()), COLUMNS):
+            s, e = np.searchsorted(column, [start, start + COLUMNS])
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[row[s:e], column[s:e] - start] = 1
+            both += has[low] @ has[high].T
+        ok = 100 * both >= threshold * (n[low][:, None] + n[high][None, :] - both)
+        ok &= ids[low][:, None] != ids[high][None, :]
+        if low.tolist() == high.tolist():
+            return pd.DataFrame({"rep": ids[low], "n": ok.sum(axis=1)})
+        return pd.DataFrame({"rep": np.concatenate([ids[low], ids[high]]), "n": np.concatenate([ok.sum(axis=1), ok.sum(axis=0)])})
+
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"), "block", "doc_id", "own")
+    return dealt.groupBy("component", "low", "high").applyInPandas(links, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("count"))
+
+
+def degrees(links: DataFrame, own: DataFrame, dense: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """rep, count: exact links of each class. dense: ids at dense shingles, of whose components not all pairs were tested."""
+    parts = own.join(dense, F.col("node") == F.col("doc_id"), "left_semi").select("component").distinct()
+    members = materialise(own.join(parts, "component", "left_semi").select(F.col("node").alias("doc_id"), "component"), "members")
+    exact = counted(members.join(sets.dropDuplicates(["doc_id"]), "doc_id"), threshold)
+    rest = links.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+    return rest.join(members, F.col("rep") == F.col("doc_id"), "left_anti").unionByName(exact)
+
+
+def jaccard_links(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, ...]:
+    """Rows (doc_id, n, d1, d2), class representatives (d1, d2, rep), links between them (a, b), their components, ids at
+    dense shingles, and whole sets. Links are all there are, but for components with dense ids: of these they span each."""
     scanned = materialise(scan_sets(docs, k), "scanned")
     rows = scanned.filter("chunk < 0").select("doc_id", "n", "d1", "d2")
     classes = materialise(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
     got = materialise(candidates(prefixes(docs, reps, whole_sketch(scanned), k, threshold), threshold, 0), "candidates")
     ids = got.filter("a >= 0").select(F.col("a").alias("doc_id")).unionByName(got.select(F.col("b").alias("doc_id")))
-    sets = whole_sets(docs, materialise(ids.distinct(), "ids"), k)
+    # the bit filter lets a few other ids through, copies too: pairs with them find no set
+    sets = whole_sets(docs, materialise(ids.distinct().join(reps, "doc_id", "left_semi"), "ids"), k)
+    dense = materialise(got.filter("a < 0").select(F.col("b").alias("doc_id")).distinct(), "dense")
     tested = materialise(got.filter("a >= 0").select("a", "b").distinct(), "pairs")
     links, budget = materialise(verified(tested, sets, threshold), "links"), 4
     own = components(links)
@@ -297,23 +344,23 @@ def jaccard_links(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, D
                 own = components(own.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
                 links = links.unionByName(more)
         budget *= 4
-    return rows, classes, links, own
+    return rows, classes, links, own, dense, sets
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row; n_links: of its class to classes with other sets."""
-    rows, classes, links, own = jaccard_links(docs, k, threshold)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+def jaccard_components(docs: DataFrame, k: int = 3, threshold: int = 90, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row; n_links: of its class to classes with other sets, null unless count."""
+    rows, classes, links, own, dense, sets = jaccard_links(docs, k, threshold)
+    degree = degrees(links, own, dense, sets, threshold) if count else classes.select("rep", F.lit(None).cast("long").alias("count"))
     named = classes.join(own, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
-    named = materialise(named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links")), "named")
+    named = materialise(named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("count", F.lit(0)) if count else F.col("count")).alias("n_links")), "named")
     out = rows.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
     alone = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"), (F.coalesce("n_links", F.lit(0)) if count else F.col("n_links")).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group, and those with a null one, with docs' own columns."""
-    gone = jaccard_components(docs, k, threshold).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = jaccard_components(docs, k, threshold, count=False).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 

@@ -52,6 +52,25 @@ def test_equals_brute_force(spark, monkeypatch, k, threshold, dense):
     assert got == brute(rows, k, threshold)
 
 
+def test_links_of_a_large_group(spark, monkeypatch):
+    """Over 24 classes meet at a shingle: each class's links are counted all the same, by several blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, "a b c d e f g h i j k l"), (101, "a b c d e f g h i j k l m"), (102, "alone in the world")]
+    sets = {i: frozenset(s) for i, s in word_sets(rows, 3).items()}
+    distinct = set(sets.values())
+    want = {i: sum(t != s and 100 * len(s & t) >= 90 * len(s | t) for t in distinct) for i, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(want.values()) > 600
+
+
 def test_odd(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (2, "a b c d e f", "x"), (3, None, "x"), (4, "", "x"), (5, "z " * 30_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
