@@ -175,6 +175,22 @@ def test_vectors(spark):
     assert {(r.vec_id, r.other_id) for r in vectors.similar_lsh(df, 64).collect()} <= want
 
 
+def test_lsh_recall(spark):
+    """At least 0.9 of similar()'s pairs just over the threshold, by buckets; all of them up to the exact limit."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(600, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(0, 600, 2):  # pairs with a cosine of 0.60 to 0.66
+        c = rng.uniform(0.601, 0.66)
+        side = v[i + 1] - (v[i + 1] @ v[i]) * v[i]
+        v[i + 1] = c * v[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    pairs = lambda d: {(r.vec_id, r.other_id, r.cosine) for r in d.collect()}
+    want, got = pairs(vectors.similar(df)), pairs(vectors.similar_lsh(df, 64, exact_limit=0))
+    assert len(want) >= 600 and got <= want and len(got) >= 0.9 * len(want)
+    assert pairs(vectors.similar_lsh(df, 64)) == want
+
+
 def test_refresh(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "k string, s string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "k string, s string")
