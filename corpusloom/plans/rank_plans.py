@@ -145,6 +145,19 @@ def block_pack(spark, d):
     return context.pack_blocks(docs.withColumn("rank", w).filter("rank <= 40"), ["source"], 4000).select("source", "rank", "doc_id", "packed_tokens")
 
 
+def block_pack_whole(spark, d):
+    """As block_pack(), with all documents of a source offered to the packing."""
+    docs = table(spark, d, "documents").select("source", "doc_id", context.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    w = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("tokens"), "doc_id"))
+    return context.pack_blocks(docs.withColumn("rank", w), ["source"], 4000).select("source", "rank", "doc_id", "packed_tokens")
+
+
+def numbered_source_whole(spark, d):
+    """As numbered_source(), of all lines of all documents."""
+    lines = corpus.lines_of(corpus.files_of(table(spark, d, "documents")), "doc_id")
+    return context.numbered_lines(lines, "doc_id").select("doc_id", F.sha2(F.col("source").cast("binary"), 256).alias("sha"))
+
+
 def numbered_source(spark, d):
     lines = corpus.lines_of(corpus.files_of(table(spark, d, "documents")).filter("repo = 'src3'"), "doc_id").filter("line <= 500")
     return context.numbered_lines(lines, "doc_id").select("doc_id", F.sha2(F.col("source").cast("binary"), 256).alias("sha"))
@@ -258,6 +271,8 @@ QUERIES = {
         UNION ALL SELECT b.source, b.rank, b.doc_id, CASE WHEN p.used + tokens <= 4000 THEN p.used + tokens ELSE p.used END, p.used + tokens <= 4000, tokens FROM p JOIN b ON b.source = p.source AND b.rank = p.rank + 1)
       SELECT source, rank, doc_id, packed_tokens FROM p WHERE fits"""),
     "numbered_source": (numbered_source, f"WITH {_LINES} SELECT doc_id, sha256(string_agg(lpad(line::VARCHAR, 6, ' ') || chr(9) || line_text, chr(10) ORDER BY line)) AS sha FROM lines WHERE repo = 'src3' AND line <= 500 GROUP BY doc_id"),
+    "block_pack_whole": (block_pack_whole, None),
+    "numbered_source_whole": (numbered_source_whole, f"WITH {_LINES} SELECT doc_id, sha256(string_agg(lpad(line::VARCHAR, 6, ' ') || chr(9) || line_text, chr(10) ORDER BY line)) AS sha FROM lines GROUP BY doc_id"),
     "cosine_all_pairs": (cosine_all_pairs, "SELECT a.vec_id, b.vec_id AS other_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.6 QUALIFY rank <= 5"),
     "similar_lsh": (similar_lsh, None),
     "quantize_int8": (quantize_int8, """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS scale FROM embeddings)

@@ -1,5 +1,6 @@
 """Operators on the small cases of the reference's own tests, and hand-computed ones."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import tokenize
 from corpusloom.operators import context, corpus, evaluation, facts, graph, grep, incremental, manifests, rank, relations, routes, spans, symbols, vectors
+from corpusloom.plans import rank_plans
 from corpusloom.sources.files import Snapshots, read_files
 
 
@@ -191,6 +193,19 @@ def test_lsh_recall(spark):
     assert pairs(vectors.similar_lsh(df, 64)) == want
 
 
+def test_whole_sources(spark, tmp_path):
+    """All lines of all documents are numbered; documents past a source's 40th are offered to the packing."""
+    long = "\n".join(f"line {i}" for i in range(1, 701))
+    sizes = [3000, *[1001] * 42, 300, 200]
+    rows = [(i, "x" * 4 * n, "en", "a", 4 * n) for i, n in enumerate(sizes)] + [(100, long, "en", "b", len(long))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    packed = {r.doc_id for r in rank_plans.block_pack_whole(spark, str(tmp_path)).collect()}
+    assert packed == {0, 43, 44, 100}
+    got = {r.doc_id: r.sha for r in rank_plans.numbered_source_whole(spark, str(tmp_path)).collect()}
+    want = "\n".join(f"{i:6d}\tline {i}" for i in range(1, 701))
+    assert len(got) == len(rows) and got[100] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_refresh(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "k string, s string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "k string, s string")
