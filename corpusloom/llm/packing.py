@@ -29,7 +29,6 @@ CAPACITIES = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 32
 #: Pieces of a shard, about.
 SHARD = 8192
-LOOKAHEAD = 64
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -39,16 +38,12 @@ def estimated_tokens(text: Column) -> Column:
 
 def _trial(length: int, capacity: int, lengths: list[int], counts: dict[int, int]) -> int:
     """Tokens that a new bin would hold: the piece, and then greedily the longest remaining that fit."""
-    room, used = capacity - length, {length: 1}
-    for _ in range(LOOKAHEAD):
-        at = bisect_right(lengths, room) - 1
-        while at >= 0 and counts[lengths[at]] <= used.get(lengths[at], 0):
-            at -= 1
-        if at < 0:
-            break
+    room = capacity - length
+    at = bisect_right(lengths, room) - 1
+    while at >= 0:
         x = lengths[at]
-        used[x] = used.get(x, 0) + 1
-        room -= x
+        room -= x * min(counts[x] - (x == length), room // x)
+        at = min(at, bisect_right(lengths, room)) - 1
     return capacity - room
 
 

@@ -258,6 +258,15 @@ def test_rates_equal_numpy(spark):
     assert np.abs((n * got) @ p / n.sum() - (n * rates) @ p / n.sum()).max() < 1e-3
 
 
+def test_trial_of_short_pieces():
+    """A capacity is tried out until it is full, however short the pieces."""
+    assert packing._trial(10, 4096, [10], {10: 1000}) == 4090
+    assert packing._trial(10, 4096, [3, 10], {3: 2, 10: 1000}) == 4096
+    assert packing._trial(10, 256, [10], {10: 3}) == 30
+    bins, _, capacities = packing.pack_lengths([10] * 4090)
+    assert capacities == [4096] * 10 and max(bins) == 9
+
+
 def exhaustive(index, vectors, at, weight, k):
     q = dict(zip(at, weight, strict=True))
     found = [(-round(sum(q.get(t, 0) * w for t, w in zip(*v, strict=True)), 9), i) for i, v in vectors.items()]
