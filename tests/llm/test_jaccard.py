@@ -1,6 +1,7 @@
 """The Jaccard join and its components against all pairs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,11 +9,13 @@ import pytest
 from corpusloom.llm import components, jaccard_join
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # A-Z alone, as the contract says
+
+
 def word_sets(rows, k):
     out = {}
     for i, t in rows:
-        w = (t or "").split(" ") if t else []
-        w = [x.lower() for x in w if x]
+        w = [x.translate(LOWER) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
         out[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
     return out
 
@@ -36,11 +39,28 @@ def brute(rows, k, threshold):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("k,threshold,dense", [(3, 90, 24), (5, 80, 24), (2, 60, 3)])
-def test_equals_brute_force(spark, monkeypatch, k, threshold, dense):
-    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+def links_of(rows, k, threshold):
+    """Links of each document's class to classes with other sets."""
+    sets = {i: frozenset(s) for i, s in word_sets(rows, k).items()}
+    distinct = {s for s in sets.values() if s}
+    return {i: sum(t != s and 100 * len(s & t) >= threshold * len(s | t) for t in distinct) if s else 0 for i, s in sets.items()}
+
+
+def same_as_brute(spark, rows, k, threshold, parts=4):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_components(df, k, threshold).collect()}
+    want, degree = brute(rows, k, threshold), links_of(rows, k, threshold)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert {i: r.n_links for i, r in got.items()} == degree
+    return degree
+
+
+@pytest.mark.parametrize("k,threshold,limits", [(3, 90, {}), (5, 80, {}), (2, 60, {"RUN": 3, "BLOCK": 4, "LEADERS": 1, "FEW": 1}), (3, 85, {"SALTED": 3, "CARRY": 8, "COLUMNS": 16, "FEW": 2})])
+def test_equals_brute_force(spark, monkeypatch, k, threshold, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(k)
-    vocabulary = [f"w{i}" for i in range(400)]
+    vocabulary = [f"w{i}" for i in range(400)] + ["Ärger", "ärger", "ÉTÉ", "été", "İx"]
     rows, bases = [], [rng.choices(vocabulary, k=n) for n in (30, 60, 100, 12)]
     for i in range(170):
         w = list(rng.choice(bases))
@@ -48,8 +68,44 @@ def test_equals_brute_force(spark, monkeypatch, k, threshold, dense):
             w[rng.randrange(len(w))] = rng.choice(vocabulary).upper()
         rows.append((i, " ".join(w)))
     rows += [(300, "one two"), (301, "one two"), (302, "ONE two"), (303, ""), (304, None), (305, "  "), (306, "a b c"), (307, "a b c")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, threshold).collect()}
-    assert got == brute(rows, k, threshold)
+    same_as_brute(spark, rows, k, threshold)
+
+
+def edited(rng, base, i, edits):
+    w = list(base)
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"own{i}x{rng.randrange(9)}"
+    return " ".join(w)
+
+
+def test_five_hundred_near_copies(spark, monkeypatch):
+    """Near copies about the threshold: half of the pairs link. Rows made must not grow with the square of the group."""
+    made = []
+    monkeypatch.setattr(jaccard_join, "drop_table", lambda df: made.append((df.columns, df.count())))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(rng, base, i, rng.randrange(6))) for i in range(500)]
+    degree = same_as_brute(spark, rows, 3, 90)
+    assert sum(degree.values()) > 10_000
+    assert max(n for _, n in made) < 40 * 500
+
+
+def test_common_shingle_whose_pairs_fail(spark):
+    """Documents that share one passage and are else different: they meet, and verification tells them apart."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(passage + [f"own{i}x{j}" for j in range(rng.choice([3, 4, 5, 40]))])) for i in range(150)]
+    rows += [(1000 + i, edited(rng, passage, i, i % 3)) for i in range(40)]
+    same_as_brute(spark, rows, 5, 80)
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    """With more ids than bits every row passes the broadcast filters; joins drop those that are not asked for."""
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", 1 << 15)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i * 32768, edited(rng, base, i, i % 4)) for i in range(90)] + [(i, edited(rng, base, i % 7, 2)) for i in range(5000, 5060)]
+    same_as_brute(spark, rows, 3, 90)
 
 
 def test_links_of_a_large_group(spark, monkeypatch):
@@ -64,9 +120,7 @@ def test_links_of_a_large_group(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"own{i}"
         rows.append((i, " ".join(w)))
     rows += [(100, "a b c d e f g h i j k l"), (101, "a b c d e f g h i j k l m"), (102, "alone in the world")]
-    sets = {i: frozenset(s) for i, s in word_sets(rows, 3).items()}
-    distinct = set(sets.values())
-    want = {i: sum(t != s and 100 * len(s & t) >= 90 * len(s | t) for t in distinct) for i, s in sets.items()}
+    want = links_of(rows, 3, 90)
     got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and sum(want.values()) > 600
 
@@ -89,7 +143,7 @@ def test_bounds():
             assert p == n - least + 1
             for m in range(1, 60):
                 need = next(o for o in range(n + m + 1) if 100 * o >= threshold * (n + m - o))
-                assert jaccard_join.least_overlap(n + m, threshold) == need
+                assert jaccard_join.spare(n + m, threshold) >= n + m - 2 * need
 
 
 def test_filter_never_loses():
@@ -100,9 +154,11 @@ def test_filter_never_loses():
         b = np.concatenate([a[: n - n // 40], rng.integers(0, 2**63, n // 30).astype(np.uint64)])
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
-        row = lambda s: {"n": np.array([len(s)]), "at": np.array([0]), "sig": np.frombuffer(jaccard_join.signature(s), np.uint8).reshape(1, 16).astype(np.int16)}
+        large = [jaccard_join.signature(s).astype(np.int16).reshape(1, 256) for s in (a, b)]
+        small = [jaccard_join.unpacked(*jaccard_join.folded(s).T) for s in large]
         if 100 * both >= 90 * (len(a) + len(b) - both):
-            assert jaccard_join.passing(row(a), row(b), 90).all()
+            for x, y in (large, small):
+                assert jaccard_join.distance(x, y)[0] <= jaccard_join.spare(len(a) + len(b), 90)
 
 
 def test_components(spark):
