@@ -75,11 +75,15 @@ def visit(parts: Column) -> tuple[Column, Column, Column]:
 
 def format_chats(turns: DataFrame, parts: str = "parts") -> DataFrame:
     """conv_id, formatted, loss_spans, attachments, n_tokens of each conversation; turns has conv_id, turn, role and parts."""
-    content, attachments, tokens = visit(F.col(parts))
-    role = F.coalesce("role", F.lit(""))
-    written = turns.select("conv_id", "turn", role.alias("role"), content.alias("content"), attachments.alias("attachments"), tokens.alias("tokens"))
-    written = written.select("conv_id", F.struct("turn", "role", "content", "attachments", "tokens").alias("t"))
-    chats = written.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # turns in order (null first), then roles, then the parts as they were given
+    given = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
+    gathered = turns.select("conv_id", given.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+
+    def written(t: Column) -> Column:
+        content, attachments, tokens = visit(t["parts"])
+        return F.struct(t["turn"].alias("turn"), t["role"].alias("role"), content.alias("content"), attachments.alias("attachments"), tokens.alias("tokens"))
+
+    chats = gathered.select("conv_id", F.transform("ts", written).alias("ts"))
     start = lambda t: F.length(escaped(t["role"], role=True)) + len(OPEN) + len(MIDDLE)
     return chats.select(
         "conv_id",
@@ -123,9 +127,9 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(4 + 2 + 8 + length(role) + length(text)
       + length(regexp_replace(role || text, '[^\\<#]', '', 'g')) + length(regexp_replace(role, '[^:]', '', 'g')))::BIGINT AS formatted_chars,
   sum(CAST(ceil(strlen(text) / 4) AS BIGINT))::BIGINT AS n_tokens

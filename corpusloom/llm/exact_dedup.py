@@ -27,7 +27,6 @@ from .common import fresh, materialise, table
 BUCKET = 16_384
 LEVELS = 40
 GAMMA = 2.0
-MAX_ID = (1 << 63) - 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -106,7 +105,9 @@ INDEX = "bucket int, n long, sizes array<long>, bits binary, digests binary, bes
 
 def grouped(rows: DataFrame) -> DataFrame:
     """Distinct digests with their best row and number of rows. Partial sums make a hot group one row per task."""
-    best = F.struct((-F.col("len")).alias("neg"), F.coalesce("doc_id", F.lit(MAX_ID)).alias("id"), F.col("row").alias("row"))
+    # neg sorts the longest first and, of one length, null ids last: it is even for others
+    neg = F.when(F.col("doc_id").isNull(), 1).otherwise(0) - 2 * F.col("len")
+    best = F.struct(neg.alias("neg"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("row").alias("row"))
     return rows.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("rows")).select("digest", F.col("best.neg").alias("neg"), F.col("best.id").alias("id"), F.col("best.row").alias("row"), "rows")
 
 
@@ -158,7 +159,7 @@ def merge(index: DataFrame, later: DataFrame, buckets: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, is_history: Column | None = None, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, in_history of every row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, in_history, n_points (code points) of every row of docs.
 
     is_history marks the rows of earlier batches, over which the perfect hash is built (default: the even half by a
     hash of doc_id, so that one table passes through both paths). Every row takes part and the result does not depend
@@ -177,24 +178,23 @@ def _labelled(narrow: DataFrame, groups: DataFrame) -> DataFrame:
 
     Rows were numbered as the narrow table was written, so of repeated rows of a winner one alone is kept.
     """
-    groups = groups.select(F.col("digest").alias("key"), "id", F.col("row").alias("best_row"), F.col("rows").alias("group_size"), "known")
+    groups = groups.select(F.col("digest").alias("key"), "neg", "id", F.col("row").alias("best_row"), F.col("rows").alias("group_size"), "known")
     rows = narrow.join(groups, narrow["digest"] == groups["key"])
-    return rows.select("doc_id", F.when(F.col("id") < MAX_ID, F.col("id")).alias("keep_id"), "group_size", (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("known").alias("in_history"))
+    return rows.select("doc_id", F.when(F.pmod("neg", F.lit(2)) == 0, F.col("id")).alias("keep_id"), "group_size", (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("known").alias("in_history"), F.col("len").alias("n_points"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
-    kept = materialise(exact_dedup(docs, **options).filter("kept").select("doc_id", "text_sha256"), "kept")
-    sha = fresh("sha", docs.columns)
-    keyed = docs.withColumn(sha, F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    ids = docs.groupBy("doc_id").count()
-    if not ids.filter("count > 1").isEmpty():  # repeated rows: one of each text and id is enough
-        keyed = keyed.dropDuplicates(["doc_id", sha])
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed[sha] == kept["text_sha256"]), "left_semi").select(*docs.columns)
+    kept = materialise(exact_dedup(docs, **options).filter("kept").select("doc_id", "text_sha256", "n_points"), "kept")
+    sha, size = fresh("sha", docs.columns), fresh("size", docs.columns)
+    keyed = docs.withColumns({sha: F.sha2(normalised(F.col("text")).cast("binary"), 256), size: F.length(F.coalesce("text", F.lit(""))).cast("long")})
+    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed[sha] == kept["text_sha256"]) & (keyed[size] == kept["n_points"])
+    # what is left of an id, a text and a length are repeated rows, or such as differ in the kind of white space: one stays
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", sha, size]).select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("in_history")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("in_history", "n_points")
 
 
 ORACLE_SQL = r"""

@@ -130,7 +130,7 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], reject:
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(train), BATCH):
-            rows = (train if not at else train)[at : at + BATCH]
+            rows = train[at : at + BATCH]
             x = dense(rows)
             h = x @ embedding
             g = softmax(h @ weights + bias)
@@ -151,11 +151,16 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], reject:
     return Model(names, table_.astype(np.float32), bias, temperature, threshold)
 
 
-def train(docs: DataFrame, usable: Column | None = None, sample: int = 4000, reject: float = 0.001) -> Model:
-    """Fit on about `sample` rows with a label, evenly over the labels; which rows depends on a hash of doc_id alone."""
+def train(docs: DataFrame, usable: Column | None = None, sample: int = 4000, reject: float = 0.001, most_labels: int = 4096) -> Model:
+    """Fit on about `sample` rows with a label, evenly over the labels; which rows depends on a hash of doc_id alone.
+
+    Every label is learned; more than most_labels of them are no languages, and an error.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(usable) if usable is not None else rows
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_labels + 1).collect()}
+    if len(sizes) > most_labels:
+        raise ValueError(f"more than {most_labels} distinct labels")
     if not sizes:
         return fit([], [], reject)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / len(sizes) / n))])

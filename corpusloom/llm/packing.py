@@ -90,13 +90,13 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacities: tuple[int, .
     """Pieces of all documents: doc_id, piece, piece_tokens, doc_start, bin_id, bin_offset, bin_tokens, bin_capacity."""
     tokens = estimated_tokens(F.col("text")) if tokens is None else tokens
     top = max(capacities)
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(tokens, F.lit(0)) + 1).cast("long").alias("n")), "lengths")
-    pieces = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))).alias("piece", "doc_start"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "doc_start", F.least(F.lit(top), F.col("n") - F.col("doc_start")).cast("long").alias("size"))
+    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(tokens, F.lit(0)) + 1).cast("long").alias("n"), F.monotonically_increasing_id().alias("row")), "lengths")
+    pieces = sized.select("doc_id", "n", "row", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))).alias("piece", "doc_start"))
+    pieces = pieces.select("doc_id", "row", F.col("piece").cast("long").alias("piece"), "doc_start", F.least(F.lit(top), F.col("n") - F.col("doc_start")).cast("long").alias("size"))
     total = sized.select(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
     shards = max(1, -(-total // shard))
-    # Repeated ids are dealt by their lengths too. A key that is hot even so is a run of equal rows, split by a running number.
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "size", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(shards)))
+    # Rows were numbered as the lengths were written, so any number of equal rows, or of null ids, is dealt evenly.
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], na_position="last", kind="stable")

@@ -1,18 +1,23 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Examples are a bounded sample of labelled rows. The cosine is not over whole vocabularies: the TERMS most telling words
-(chi-square of presence against the label) are the index's terms, and examples without any are not indexed (README has
-figures); document frequencies are counted over all documents. Postings are dealt into blocks of
-BLOCK examples, alike examples together, and each term keeps its highest weight in each block. A text's blocks are
-looked into in the order of their upper bounds, until the next bound is below the K-th best cosine: so the K nearest
-are exact, ties going to the smaller doc_id. A neighbour votes with 1 / (distance + 0.05). A logistic curve, fitted on
-a quarter of the sample that is kept out of the index and weighted to the labels' own frequencies, turns vote and
-likeness into a probability; texts without any term get the frequency among such texts. The neighbours that voted are
-returned as evidence.
+Examples are a bounded sample of labelled rows: about SAMPLE of them, and about POSTINGS distinct words in them together.
+All their words are the index's terms. A term's weight in a text is (1 + log of its count) * idf * relevance, and vectors
+have length one; document frequencies are counted over all documents. Relevance is FAINT for words that the examples' labels
+say nothing about and near one for telling ones (by chi-square of presence against the label), so that a few telling words
+are not drowned in a long text, and texts without any are compared by plain TF-IDF. A text's words that no example has
+have no weight.
+
+Examples are dealt into blocks of BLOCK, alike ones together. A term's posting list holds (example, weight), block by
+block, with the highest weight in each block. A text's blocks are looked into in the order of their upper bounds, a
+growing number a round, until the next bound is below the K-th best cosine: so the K nearest are exact, ties going to
+the smaller doc_id. A neighbour votes with 1 / (distance + 0.05). A logistic curve, fitted on a quarter of the sample
+that is kept out of the index and weighted to the labels' own frequencies, turns vote and likeness into a probability;
+texts that share no word with any example get the frequency among such texts. The neighbours that voted are evidence.
 
 Null and empty texts have no terms. Null labels are ignored; of repeated labels the highest counts. Without both
 labels in the sample every score is 0. Words are runs of letters and digits, lower-cased. Only text is read to score;
-extra columns, repeated rows and null ids make no difference.
+extra columns, repeated rows and null ids make no difference, texts of any length count whole, and an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -30,80 +35,100 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialise, table
 
 WORD = re.compile(r"[^\W_]+")
-SAMPLE, TERMS, BLOCK, NEIGHBOURS = 6000, 256, 32, 15
-LEAST_DF = 4
-#: Chi-square that a word must reach: the 1 % level after correction for about a hundred thousand words.
-TELLING = 28.4
-#: Blocks that are looked into first; the threshold that they give leaves few others.
-FIRST_BLOCKS = 4
+SAMPLE, POSTINGS, BLOCK, NEIGHBOURS = 6000, 4_000_000, 32, 15
+#: Relevance of a word that tells nothing; chi-square (the 1 % level after correction for about a hundred thousand words)
+#: about which it rises to one.
+FAINT, TELLING = 0.01, 28.4
+#: Blocks that are looked into first; each further round takes twice as many.
+FIRST_BLOCKS = 8
 
 
 def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def choose_terms(found: list[tuple[str, int, int]], total: int, toxic: int, n: int = TERMS) -> list[str]:
-    """Words with the highest chi-square against the label. found: word, examples that have it, toxic ones among them."""
-    found = sorted(found)
-    a, d = (np.array([f[i] for f in found], float) for i in (2, 1))
-    bottom = d * (total - d) * toxic * (total - toxic)
-    chi = total * (a * total - d * toxic) ** 2 / np.maximum(bottom, 1)
-    order = np.lexsort((np.arange(len(found)), -chi))[:n]
-    return [found[i][0] for i in order if chi[i] > TELLING]
+def relevance(df: np.ndarray, positive: np.ndarray, total: int, toxic: int) -> np.ndarray:
+    """By word: df of the examples have it, positive toxic ones among them."""
+    bottom = df * (total - df) * float(toxic) * (total - toxic)
+    chi = total * (positive * float(total) - df * float(toxic)) ** 2 / np.maximum(bottom, 1)
+    return FAINT + (1 - FAINT) * (chi**2 / (chi**2 + TELLING**2)) ** 2
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """start[0] .. stop[0] - 1, start[1] .. stop[1] - 1, and so on."""
+    n = stop - start
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index. postings: a term's weights by block and place in the block, so any blocks of a term's
-    list are read at once (terms and examples are bounded, so is the table); block_max: each list's highest by block."""
+    """Block-max inverted index. Term t has the runs first[t] .. first[t + 1] - 1, one for each block that has it: the run's
+    block, its highest weight (top), and its postings at[r] .. at[r + 1] - 1, each an example's place and weight."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    scale: np.ndarray
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    postings: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    top: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def vector(self, counts: Counter | dict) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a text and their weights, of length 1 together."""
-        found = sorted((self.terms[w], c) for w, c in counts.items() if w in self.terms)
-        at = np.array([t for t, _ in found], np.int64)
-        weight = (1 + np.log(np.array([c for _, c in found], float))) * self.idf[at] if found else np.zeros(0)
-        return at, weight / np.sqrt((weight**2).sum()) if found else weight
+        """Terms of a text, ascending, and their weights, of length 1 together."""
+        terms = self.terms
+        found = sorted([(terms[w], c) for w, c in counts.items() if w in terms])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, n = np.array(found, np.int64).T
+        weight = (1 + np.log(n)) * self.scale[at]
+        return at, weight / np.sqrt((weight**2).sum())
 
     def build(self, texts: list[Counter], ids: np.ndarray, toxic: np.ndarray) -> Index:
         vectors = [self.vector(c) for c in texts]
         rows = [i for i, (at, _) in enumerate(vectors) if len(at)]
-        rows.sort(key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), tuple(vectors[i][0]), int(ids[i])))  # alike ones share a block
+        rows.sort(key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(ids[i])))  # alike ones share a block
         self.ids, self.toxic = ids[rows], toxic[rows]
-        blocks = -(-len(rows) // BLOCK)
-        self.postings = np.zeros((len(self.terms), blocks, BLOCK))
-        for k, i in enumerate(rows):
-            at, weight = vectors[i]
-            self.postings[at, k // BLOCK, k % BLOCK] = weight
-        self.block_max = self.postings.max(axis=2) if blocks else np.zeros((len(self.terms), 0))
+        if not rows:
+            self.first = np.zeros(len(self.terms) + 1, np.int64)
+            return self
+        term = np.concatenate([vectors[i][0] for i in rows])
+        place = np.repeat(np.arange(len(rows)), [len(vectors[i][0]) for i in rows])
+        weight = np.concatenate([vectors[i][1] for i in rows])
+        order = np.lexsort((place, term))
+        term, self.place, self.weight = term[order], place[order].astype(np.int32), weight[order]
+        block = self.place // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.block, self.top = block[begin], np.maximum.reduceat(self.weight, begin)
+        self.at = np.concatenate([begin, [len(term)]])
+        self.first = np.searchsorted(term[begin], np.arange(len(self.terms) + 1))
         return self
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """Cosine and position of the k nearest examples with cosine over 0; ties by id.
-
-        Blocks go by their upper bounds. The first few give a k-th best cosine; every other block that may reach it is
-        looked into, the rest cannot hold a nearer example.
-        """
-        bounds = weight @ self.block_max[at]
+        """Cosine and place of the k nearest examples with cosine over 0; ties by id."""
+        begin, end = self.first[at], self.first[at + 1]
+        runs, own = _ranges(begin, end), np.repeat(weight, end - begin)
+        block = self.block[runs]
+        bounds = np.bincount(block, own * self.top[runs])
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         best: list[tuple[float, int, int]] = []
+        size = FIRST_BLOCKS
         while len(order):
-            some, order = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
-            if best:  # the second round takes all that is left
-                some, order = np.concatenate([some, order]), order[:0]
-            scores = np.round(np.tensordot(weight, self.postings[at[:, None], some[None, :]], 1), 9)
+            some, order, size = order[:size], order[size:], 2 * size
+            chosen = np.zeros(len(bounds), bool)
+            chosen[some] = True
+            now = chosen[block]
+            r = runs[now]
+            n = self.at[r + 1] - self.at[r]
+            postings = _ranges(self.at[r], self.at[r + 1])
+            scores = np.round(np.bincount(self.place[postings], np.repeat(own[now], n) * self.weight[postings]), 9)
             floor = -best[-1][0] if len(best) == k else 0.0
-            b, i = np.nonzero((scores > 0) & (scores >= floor))
-            place = some[b] * BLOCK + i
-            top = np.lexsort((self.ids[place], -scores[b, i]))[:k]
-            best = sorted([*best, *((-float(scores[b[x], i[x]]), int(self.ids[place[x]]), int(place[x])) for x in top)])[:k]
+            i = np.flatnonzero((scores > 0) & (scores >= floor))
+            i = i[np.lexsort((self.ids[i], -scores[i]))[:k]]
+            best = sorted([*best, *zip((-scores[i]).tolist(), self.ids[i].tolist(), i.tolist(), strict=True)])[:k]
             if len(best) == k:
                 order = order[bounds[order] + 1e-8 >= -best[-1][0]]
         return [(-s, i) for s, _, i in best]
@@ -113,7 +138,7 @@ class Index:
 class Model:
     index: Index
     curve: np.ndarray  # logistic: constant, vote, likeness
-    without: float  # probability of texts without any term
+    without: float  # probability of texts that share no word with an example
     memory: dict = field(default_factory=dict)
 
     def features(self, counts: Counter | dict, but: int | None = None) -> tuple[np.ndarray, list[tuple[float, int]]] | None:
@@ -126,16 +151,17 @@ class Model:
         return np.array([1.0, 6 * (share - 0.5), near[0][0]]), near
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        counts = Counter(w for w in tokens(text) if w in self.index.terms)
-        key = tuple(sorted(counts.items()))
-        if key not in self.memory:
+        terms = self.index.terms
+        counts = Counter([w for w in tokens(text) if w in terms])
+        key = hash(frozenset(counts.items()))
+        if key not in self.memory or self.memory[key][0] != counts:  # copies are looked up once, while few others come between
             found = self.features(counts)
             p = self.without if found is None else float(1 / (1 + np.exp(-np.clip(found[0] @ self.curve, -30, 30))))
             evidence = [] if found is None else [{"doc_id": int(self.index.ids[i]), "cosine": s, "toxic": int(self.index.toxic[i])} for s, i in found[1][:3]]
-            if len(self.memory) > 20_000:
+            if len(self.memory) >= 500:
                 self.memory.clear()
-            self.memory[key] = (p, evidence)
-        return self.memory[key]
+            self.memory[key] = (counts, p, evidence)
+        return self.memory[key][1:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -149,8 +175,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Fit on about `sample` labelled rows, as many of either label where there are, chosen by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, postings: int = POSTINGS) -> Model:
+    """Fit on about `sample` labelled rows, as many of either label where there are, and on about `postings` distinct words
+    in them together (fewer rows, if texts are long), chosen by a hash of doc_id. So the index has a bounded size."""
     own = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     own = (own.filter(usable) if usable is not None else own).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in own.filter("toxic IN (0, 1)").groupBy("toxic").count().collect()}
@@ -169,19 +196,26 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     rows = materialise(rows.withColumn("sha", F.sha2(F.array_join("words", " ").cast("binary"), 256)), "examples")
     alone = rows.groupBy("sha", "toxic").agg(F.min("doc_id").alias("doc_id")).drop("sha")
     rows = rows.join(alone, ["doc_id", "toxic"], "left_semi").dropDuplicates(["doc_id", "toxic"]).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0)
-    sums = {r["toxic"]: r["count"] for r in rows.filter("NOT held").groupBy("toxic").count().collect()}
-    if not sums.get(0) or not sums.get(1):
-        return Model(Index({}, np.zeros(0)), np.zeros(3), 0.0)
-    frequent = rows.filter("NOT held").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df") >= LEAST_DF)
-    terms = {w: i for i, w in enumerate(choose_terms([tuple(r) for r in frequent.collect()], sum(sums.values()), sums[1]))}
-    wanted = F.array(*map(F.lit, terms)).cast("array<string>")
-    counts = F.filter(F.arrays_zip("words", "n"), lambda x: F.array_contains(wanted, x["words"]))
-    own = rows.select("doc_id", "toxic", "held", counts.alias("bag")).orderBy("doc_id").collect()  # the bounded sample, of TERMS words
-    bags = [{x["words"]: x["n"] for x in r["bag"]} for r in own]
-    ids, held = np.array([r["doc_id"] for r in own]), np.array([r["held"] for r in own])
+    words = rows.agg(F.sum(F.size("words"))).first()[0] or 0
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < 1e6 * min(1.0, postings / max(1, words)))
+    own = rows.select("doc_id", "toxic", "held", "words", "n").orderBy("doc_id").collect()  # the bounded sample
+    ids, held = np.array([r["doc_id"] for r in own], np.int64), np.array([r["held"] for r in own], bool)
     toxic = np.array([r["toxic"] for r in own], float)
+    total, positive = int((~held).sum()), int(toxic[~held].sum())
+    if positive in (0, total):
+        return Model(Index({}, np.zeros(0)), np.zeros(3), 0.0)
+    bags = [dict(zip(r["words"], r["n"], strict=True)) for r in own]
+    have, toxic_have = Counter(), Counter()
+    for b, h, y in zip(bags, held, toxic, strict=True):
+        if not h:
+            have.update(b.keys())
+            if y:
+                toxic_have.update(b.keys())
+    vocabulary = sorted(have)
+    terms = {w: i for i, w in enumerate(vocabulary)}
+    told = relevance(np.array([have[w] for w in vocabulary], float), np.array([toxic_have[w] for w in vocabulary], float), total, positive)
     n_docs, df = document_frequencies(docs, terms)
-    model = Model(Index(terms, np.log((1 + n_docs) / (1 + df)) + 1), np.zeros(3), 0.0)
+    model = Model(Index(terms, (np.log((1 + n_docs) / (1 + df)) + 1) * told), np.zeros(3), 0.0)
     model.index.build([b for b, h in zip(bags, held, strict=True) if not h], ids[~held], toxic[~held])
     real = np.where(toxic == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))  # rows that a sampled one stands for
     found = {int(i): f[0] for i in np.flatnonzero(held) if (f := model.features(bags[i]))}
@@ -195,18 +229,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """Documents, and in how many of them each term occurs, over all whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = shared.value
         n, df = 0, np.zeros(len(terms), np.int64)
         for pdf in batches:
             n += len(pdf)
             for t in pdf["text"]:
-                for w in terms.keys() & set(tokens(t)):
-                    df[terms[w]] += 1
+                df[[terms[w] for w in set(tokens(t)) if w in terms]] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": [-1, *at], "n": [n, *df[at]]})
 
-    rows = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # TERMS rows at most
+    rows = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term at most
     found = {r["term"]: r["n"] for r in rows}
     return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(terms))], float)
 
@@ -214,10 +249,12 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
 def scored(model: Model) -> Column:
     """score and evidence (doc_id, cosine, toxic of the nearest examples) of a text."""
 
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
     @F.pandas_udf("score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([model.score(t) for t in texts], columns=["score", "evidence"])
+            yield pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "evidence"])
 
     return run("text")
 
