@@ -130,20 +130,79 @@ def containment(found: DataFrame) -> DataFrame:
     return met.withColumn("rn", inner).filter("rn = 1").select(F.col("owner").alias("src"), F.col("name").alias("dst"), F.lit("contains_method").alias("type"), F.lit(4).alias("tier"), F.concat_ws(":", "blob_sha", F.col("start").cast("string")).alias("evidence"))
 
 
-def verify_use(path: str, text: str, name: str, at: int) -> str:
-    """What the occurrence of a name at a character offset is: import, call, type, identifier, or masked (in a comment or string)."""
-    code, ext = mask(text), path.rpartition(".")[2].lower()
-    line = text[text.rfind("\n", 0, at) + 1 : (text.find("\n", at) + 1 or len(text) + 1) - 1]
-    if re.match(r"\s*(import\b|using\s+(static\s+)?[\w.]+\s*;|from\s+\S+\s+import\b)", line):
+_CLOSING = {"(": ")", "[": "]", "<": ">"}
+
+
+def _blanks(code: str, at: int) -> int:
+    """The first place from `at` on that is no blank."""
+    while at < len(code) and code[at] in " \t":
+        at += 1
+    return at
+
+
+def _past_list(code: str, at: int, brackets: str) -> int:
+    """What follows the bracketed list that begins at `at`; `at` itself where none of these brackets opens, or closes on its line."""
+    opening, depth = code[at : at + 1], 0
+    if not opening or opening not in brackets:
+        return at
+    for i in range(at, len(code)):
+        c = code[i]
+        if c in "\n;{}" or (opening == "<" and c in "()"):
+            return at
+        depth += (c == opening) - (c == _CLOSING[opening])
+        if not depth:
+            return i + 1
+    return at
+
+
+def _token_before(code: str, at: int) -> str:
+    """The word, or else the mark, that ends before `at`, with any white space between."""
+    end = at
+    while end and code[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin and (code[begin - 1].isalnum() or code[begin - 1] == "_"):
+        begin -= 1
+    return code[begin:end] if begin < end else code[end - 1 : end]
+
+
+def _imports(line: str) -> bool:
+    words = line.split()
+    if not words:
+        return False
+    if words[0].rstrip("(\"'") == "import" or words[0] == "from" and "import" in words[2:]:
+        return True
+    return words[0] == "using" and line.rstrip().endswith(";") and not set(line) & set("(={")
+
+
+def verify_use(path: str, text: str, name: str, at: int, code: str | None = None) -> str:
+    """What the occurrence of a name at a character offset is: import, call, type, identifier, or masked (in a comment or string).
+
+    Decided by the tokens that stand around the name. code: the masked text, if it is at hand.
+    """
+    code, ext = mask(text) if code is None else code, path.rpartition(".")[2].lower()
+    begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+    if _imports(text[begin : end if end >= 0 else len(text)]):
         return "import"
-    if code[at : at + len(name)] != name:
+    stop = at + len(name)
+    if code[at:stop] != name:
         return "masked"
-    before, after = code[:at], code[at + len(name) :]
-    if re.match(r"[\t ]*(?:(?:\[[^\]\n]*\]|<[^<>;{}()\n]*>)[\t ]*)?\(", after) and not re.search(r"\b(new|func|class)\s+$", before):
+    before, mark = _token_before(code, at), code[_blanks(code, stop) : _blanks(code, stop) + 1]
+    arguments = _blanks(code, _past_list(code, _blanks(code, stop), "[<"))
+    if code[arguments : arguments + 1] == "(" and before not in ("new", "func", "class"):
         return "call"
-    if ext in ("cs", "ts", "tsx") and (re.search(r"(\bnew|\bis|\bas|[:<,])\s*$", before) or re.match(r"(?:<[^<>\n]*>)?(?:\[\])?\??[\t ]+[A-Za-z_]\w*", after)):
-        return "type"
-    if ext == "go" and (re.match(r"[\t ]*\{", after) or re.search(r"(\*|\[\][\t ]*|\bchan[\t ]+|\.[\t ]*)$", before)):
+    if ext in ("cs", "ts", "tsx"):
+        if before in ("new", "is", "as", ":", "<", ","):
+            return "type"
+        # a declaration: the type, its arguments, an array, a mark of null, then the declared name
+        i = _past_list(code, stop, "<")
+        if code[i : i + 2] == "[]":
+            i += 2
+        i += code[i : i + 1] == "?"
+        declared = _blanks(code, i)
+        if declared > i and (code[declared : declared + 1].isalpha() or code[declared : declared + 1] == "_"):
+            return "type"
+    if ext == "go" and (mark == "{" or before in ("*", "]", "chan", ".")):
         return "type"
     return "identifier"
 
@@ -161,9 +220,10 @@ def verified_uses(files: DataFrame, names: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for sha, path, text, wanted in zip(pdf["blob_sha"], pdf["rel_path"], pdf["content"], pdf["names"], strict=True):
+                code, wanted = mask(text), set(wanted)
                 for m in re.finditer(r"[^\W\d]\w*", text):
                     if m[0] in wanted:
-                        use = verify_use(path, text, m[0], m.start())
+                        use = verify_use(path, text, m[0], m.start(), code)
                         if use != "masked":
                             rows.append((sha, m[0], m.start(), use, 1 if use == "identifier" else 2))
             yield pd.DataFrame(rows, columns=["blob_sha", "name", "at", "use", "tier"])
