@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialise, table
 
 WORD = re.compile(r"[^\W_]+")
-SAMPLE, POSTINGS, BLOCK, NEIGHBOURS = 6000, 4_000_000, 32, 15
+SAMPLE, POSTINGS, BLOCK, NEIGHBOURS = 2400, 800_000, 32, 15
 #: Relevance of a word that tells nothing; chi-square (the 1 % level after correction for about a hundred thousand words)
 #: about which it rises to one.
 FAINT, TELLING = 0.01, 28.4
@@ -217,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     n_docs, df = document_frequencies(docs, terms)
     model = Model(Index(terms, (np.log((1 + n_docs) / (1 + df)) + 1) * told), np.zeros(3), 0.0)
     model.index.build([b for b, h in zip(bags, held, strict=True) if not h], ids[~held], toxic[~held])
+    del own, have, toxic_have
     real = np.where(toxic == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))  # rows that a sampled one stands for
     found = {int(i): f[0] for i in np.flatnonzero(held) if (f := model.features(bags[i]))}
     rest = [int(i) for i in np.flatnonzero(held) if int(i) not in found]
