@@ -1,7 +1,8 @@
-"""Line search: literals and regular expressions over the distinct contents, fanned out to every file that has them.
+"""Line search: literals and regular expressions over the contents of files.
 
 A condition that every match must meet is checked on whole texts first, then on lines, then the real predicate
-decides; all three stay in generated code and no index is needed. Contents are searched once per blob.
+decides; all three stay in generated code and no index is needed. Contents are searched where they are read: only the
+places of matches are shuffled, never texts, so a text that several files have is searched once a file.
 """
 
 from __future__ import annotations
@@ -13,35 +14,30 @@ from ..functions import regexplan
 from .corpus import blobs_of, lines_of
 
 
-def _matching(blobs: DataFrame, need: regexplan.Need, match: Column) -> DataFrame:
-    rows = blobs.filter(regexplan.contains(F.col("content"), need))
-    lines = lines_of(rows, "blob_sha")
-    return lines.filter(regexplan.contains(F.col("line_text"), need) & match)
-
-
-def fan_out(found: DataFrame, files: DataFrame) -> DataFrame:
+def _matching(files: DataFrame, need: regexplan.Need, match: Column) -> DataFrame:
     """doc_id, repo, rel_path, line of each matching line, once per file; ordered by (repo, rel_path, line)."""
-    out = files.select("blob_sha", "doc_id", "repo", "rel_path").join(found.select("blob_sha", "line"), "blob_sha")
-    return out.select("doc_id", "repo", "rel_path", F.col("line").cast("long").alias("line")).distinct().orderBy("repo", "rel_path", "line")
+    rows = files.filter(regexplan.contains(F.col("content"), need))
+    lines = lines_of(rows, "doc_id", "repo", "rel_path").filter(regexplan.contains(F.col("line_text"), need) & match)
+    return lines.select("doc_id", "repo", "rel_path", F.col("line").cast("long").alias("line")).distinct().orderBy("repo", "rel_path", "line")
 
 
 def literal(files: DataFrame, text: str) -> DataFrame:
     """Lines that contain a text. A text with a line end matches nothing; one shorter than a gram is searched alike."""
     if "\n" in text or not text:
-        return fan_out(lines_of(blobs_of(files), "blob_sha").filter(F.lit(False)), files)
+        return _matching(files, regexplan.ALL, F.lit(False))
     need = regexplan.Need("has", text)
-    return fan_out(_matching(blobs_of(files), need, F.contains("line_text", F.lit(text))), files)
+    return _matching(files, need, F.contains("line_text", F.lit(text)))
 
 
 def regex(files: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     need = regexplan.needed(pattern, ignore_case)
-    return fan_out(_matching(blobs_of(files), need, F.rlike("line_text", F.lit(regexplan.java(pattern, ignore_case)))), files)
+    return _matching(files, need, F.rlike("line_text", F.lit(regexplan.java(pattern, ignore_case))))
 
 
 def stats(files: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
     """One row: whether nothing could be required, candidate blobs, bytes and lines, lines after the filter, lines that match."""
     need = regexplan.needed(pattern, ignore_case)
-    blobs = blobs_of(files).filter(regexplan.contains(F.col("content"), need)).select("blob_sha", "content")
+    blobs = blobs_of(files.filter(regexplan.contains(F.col("content"), need))).select("blob_sha", "content")  # candidates alone are shuffled
     per = blobs.agg(F.count(F.lit(1)).alias("candidate_blobs"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("candidate_bytes"))
     sums = [F.count(F.lit(1)).alias("candidate_lines"), F.count_if(regexplan.contains(F.col("line_text"), need)).alias("lines_filtered"), F.count_if(F.rlike("line_text", F.lit(regexplan.java(pattern, ignore_case)))).alias("lines_matched")]
     return per.crossJoin(lines_of(blobs, "blob_sha").agg(*sums)).withColumn("query_all", F.lit(need == regexplan.ALL))  # one row each
