@@ -513,3 +513,25 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) END AS sh
+  FROM w),
+d AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(sh, chr(10))) AS h, sh FROM s),
+c AS (SELECT h, min(doc_id) AS rep, any_value(n) AS n, any_value(sh) AS sh FROM d WHERE n > 0 GROUP BY h),
+g AS (SELECT rep, n, unnest(sh) AS x FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT a AS rep, min(b) AS least FROM r GROUP BY a),
+l AS (SELECT a AS rep, count(*) AS n_links FROM p GROUP BY a)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(k.least, d.doc_id) AS component_id, coalesce(l.n_links, 0) AS n_links
+FROM d LEFT JOIN c ON c.h = d.h LEFT JOIN k ON k.rep = c.rep LEFT JOIN l ON l.rep = c.rep
+"""
