@@ -45,7 +45,7 @@ def traverse(edges: DataFrame, roots: DataFrame, hops: int, types: tuple[str, ..
     own = edges.filter(F.col("type").isin(*types) & (F.col("tier") >= floor))
     step = {"in": own.select(F.col("dst").alias("here"), F.col("src").alias("to"), "tier"), "out": own.select(F.col("src").alias("here"), F.col("dst").alias("to"), "tier")}
     step = step["in"].unionByName(step["out"]) if direction == "both" else step[direction]
-    step = step.groupBy("here", "to").agg(F.max("tier").alias("edge_tier"))
+    step = materialise(step.groupBy("here", "to").agg(F.max("tier").alias("edge_tier")), "steps")  # each hop reads it
     seen = roots.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(4).alias("tier"))
     front = seen
     for hop in range(1, hops + 1):
