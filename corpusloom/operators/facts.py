@@ -53,7 +53,7 @@ def contract_impact(bindings: DataFrame, facts: DataFrame, symbol_id: str) -> Da
     """Callers of a symbol, directly or through an interface that it implements."""
     via = facts.filter(F.col("implementation_id") == symbol_id).select(F.col("interface_id").alias("target"))
     targets = via.unionByName(via.sparkSession.createDataFrame([(symbol_id,)], "target string")).distinct()
-    return bindings.join(F.broadcast(targets.limit(LIMIT)), F.col("callee_id") == F.col("target")).select("caller_id", "callee_id", (F.col("callee_id") != symbol_id).alias("via_interface")).distinct()
+    return bindings.join(targets, F.col("callee_id") == F.col("target")).select("caller_id", "callee_id", (F.col("callee_id") != symbol_id).alias("via_interface")).distinct()
 
 
 def contract_paths(bindings: DataFrame, facts: DataFrame, caller: str, symbol_id: str) -> DataFrame:
