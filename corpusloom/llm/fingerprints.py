@@ -1,38 +1,62 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs: lines, of which long ones are cut after the word that passes LEAF characters. Sections are runs
-of paragraphs; one ends after an empty line or after a paragraph whose hash says so (one in SECTION), so an edit moves
-no boundary but those near it. A section's hash is over its paragraphs' hashes, the root's over the sections'. Equal
-roots mean equal texts; where roots differ, sections and then paragraphs that differ locate the edits.
+Leaves are paragraphs: lines, of which long ones are cut after the word that passes a number of characters: few at the
+start of a text and LEAF further on (LEAVES), so short texts have several leaves too. Sections are runs of paragraphs;
+one ends after an empty line or after a paragraph whose hash says so (one in SECTION), so an edit moves no boundary but
+those near it. All hashes have 128 bits. A section's is over its paragraphs' hashes and lengths, the root's over the
+sections'. Equal roots mean equal texts; where roots differ, sections and then paragraphs that differ locate the edits.
 
 A fingerprint is the root's hash, then each section as its paragraphs' hashes and lengths. The likeness of two is the
 share of characters in paragraphs that both hold (Dice's coefficient over paragraphs weighted by length, 0 to 1);
 two empty texts are equal. Null counts as empty. Documents follow each other by descending doc_id, nulls last, then by
-text; the first follows the last, and a single document follows itself. Repeated rows are documents of their own.
+a hash of the text; the first follows the last, and a single document follows itself. Repeated rows are documents of
+their own.
 Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, table
 
 LEAF, SECTION = 160, 8
-PARAGRAPH = re.compile(rf"[^\n]{{1,{LEAF}}}\S*[^\S\n]*\n?|\n")
 MIN_ID = -(1 << 63)
+#: Characters that a written hash has.
+WIDTH = 22
 
 
-def _hash(data: bytes, size: int = 6) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def _paragraph(leaf: int) -> re.Pattern:
+    return re.compile(rf"[^\n]{{1,{leaf}}}\S*[^\S\n]*\n?|\n")
+
+
+#: Where a leaf starts before the first number, the pattern beside it cuts it: eight leaves or so of each size.
+LEAVES = [(160, _paragraph(LEAF // 8)), (480, _paragraph(LEAF // 4)), (1120, _paragraph(LEAF // 2)), (math.inf, _paragraph(LEAF))]
+
+
+def _hash(data: bytes) -> str:
+    """128 bits as URL-safe base64."""
+    return base64.urlsafe_b64encode(hashlib.blake2b(data, digest_size=16).digest()).decode()[:WIDTH]
+
+
+def paragraphs_of(text: str) -> Iterator[str]:
+    at = 0
+    for end, pattern in LEAVES[:-1]:
+        while at < min(end, len(text)):
+            x = pattern.match(text, at)[0]
+            yield x
+            at += len(x)
+    yield from LEAVES[-1][1].findall(text, at)
 
 
 @dataclass
@@ -54,16 +78,16 @@ class Tree:
 
 
 def _tree(sections: list[list[tuple[str, int]]]) -> Tree:
-    hashed = [(_hash("".join(f"{h}{n:x}." for h, n in ps).encode(), 16), ps) for ps in sections]
-    return Tree(_hash("".join(h for h, _ in hashed).encode(), 16), hashed)
+    hashed = [(_hash("".join(f"{h}{n:x}." for h, n in ps).encode()), ps) for ps in sections]
+    return Tree(_hash("".join(h for h, _ in hashed).encode()), hashed)
 
 
 def build(text: str | None) -> Tree:
     sections, paragraphs = [], []
-    for x in PARAGRAPH.findall(text or ""):
+    for x in paragraphs_of(text or ""):
         h = _hash(x.encode("utf-8", "surrogatepass"))
         paragraphs.append((h, len(x)))
-        if x == "\n" or int(h[-4:], 16) % SECTION == 0:
+        if x == "\n" or ord(h[0]) % SECTION == 0:
             sections.append(paragraphs)
             paragraphs = []
     return _tree([*sections, paragraphs] if paragraphs else sections)
@@ -72,7 +96,7 @@ def build(text: str | None) -> Tree:
 def parse(fingerprint: str) -> Tree:
     """The tree that a fingerprint writes out."""
     root, *sections = fingerprint.split("/")
-    tree = _tree([[(p[:12], int(p[12:], 16)) for p in s.split(".")] for s in sections])
+    tree = _tree([[(p[:WIDTH], int(p[WIDTH:], 16)) for p in s.split(".")] for s in sections])
     if tree.root != root:
         raise ValueError("the fingerprint's root does not fit its branches")
     return tree
@@ -122,27 +146,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _part(bounds: list[int], order: str) -> Column:
+    """The part of a row. bounds: descending, equal ones together; a key's part is the number of bounds over it, found
+    in one of sqrt(n) runs. A key that is a bound m times holds about m parts' rows and is dealt to m parts by `order`."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<long>")
+    over = lambda xs: F.size(F.filter(xs, lambda b: b > F.col("key")))
+    skipped = F.greatest(over(longs(bounds[::width])) - 1, F.lit(0)) * width
+    part = skipped + over(F.slice(longs(bounds), skipped + 1, F.lit(width)))
+    for key, m in Counter(bounds).items():
+        if m > 1:
+            share = F.floor((0.5 - F.col(order) / 2.0**64) * m)
+            part = F.when(F.col("key") == key, part + F.least(F.greatest(share, F.lit(0)), F.lit(m - 1))).otherwise(part)
+    return part.cast("int")
+
+
 def with_following(docs: DataFrame) -> DataFrame:
     """Rows (part, own, key, doc_id, text), dealt by part and sorted so that each own row is followed by the next document.
 
-    Parts are ranges of doc_id with about as many rows each; the first document of a part also goes, with own false, to
-    the end of the part before. Only as many ids as there are parts reach the driver.
+    Parts are ranges of doc_id, and within an id that fills several, of a hash of the text, with about as many rows each
+    and a task each; the first document of a part also goes, with own false, to the end of the part before. The driver
+    sees, and tasks are sent, one id and one hash a part.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = keyed.select(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b > F.col("key"))) if bounds else F.lit(0)
-    keyed = keyed.withColumn("part", part)
-    heads = sorted((r["part"], r["head"]) for r in keyed.groupBy("part").agg(F.max("key").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    copies = F.array(F.struct("part", F.lit(True).alias("own")))
-    if before:
-        to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        copies = F.when(F.col("key").isin(list(before)), F.concat(copies, F.array(F.struct(to[F.col("key")].alias("part"), F.lit(False).alias("own"))))).otherwise(copies)
-    rows = keyed.select("key", "doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.own", "key", "doc_id", "text")
-    return rows.repartition(n, "part").sortWithinPartitions("part", F.desc("own"), F.desc("key"), "text")
+    keyed = keyed.withColumn("order", F.xxhash64("text"))
+    keyed = keyed.withColumn("part", _part(sorted(bounds, reverse=True), "order"))
+    heads = sorted((r["part"], *r["head"]) for r in keyed.groupBy("part").agg(F.max(F.struct("key", "order")).alias("head")).collect())
+    before = [(heads[i - 1][0], key, order) for i, (_, key, order) in enumerate(heads)]
+    # a row a part
+    before = F.broadcast(spark.createDataFrame(before, "before int, head long, head_order long"))
+    met = keyed.join(before, (F.col("key") == F.col("head")) & (F.col("order") == F.col("head_order")), "left")
+    own, copy = F.struct("part", F.lit(True).alias("own")), F.struct(F.col("before").alias("part"), F.lit(False).alias("own"))
+    copies = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))
+    rows = met.select("key", "order", "doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.own", "key", "order", "doc_id", "text")
+    return rows.repartitionById(n, "part").sortWithinPartitions("part", F.desc("own"), F.desc("key"), F.desc("order")).drop("order")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:

@@ -185,6 +185,32 @@ def test_fingerprint_pairs(spark):
     assert fingerprints.fingerprint_pairs(df.limit(0)).count() == 0 and fingerprints.fingerprint_pairs(df.filter("doc_id = 12")).first().near_next == 1
 
 
+def test_fingerprint_of_short_texts():
+    """A text of a hundred characters has leaves enough to show what an edit leaves; leaves are whole and in order."""
+    rng = random.Random(3)
+    for n in (60, 100, 150, 239, 700, 3000):
+        text = "".join(rng.choice("abcdefgh    ") for _ in range(n))
+        other = text[: n - n // 3] + "".join(rng.choice("xyz ") for _ in range(n // 3))
+        assert "".join(fingerprints.paragraphs_of(text)) == text
+        assert 0.3 < fingerprints.likeness(fingerprints.build(text), fingerprints.build(other)) < 0.75
+
+
+def test_fingerprint_hot_ids(spark):
+    """One id, and null, on a third of the rows each: every row once, each followed by the next, parts of like size."""
+    texts = [f"text {i}\n{i * i}" for i in range(900)]
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i * 10, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    own = fingerprints.with_following(df).filter("own")
+    sizes = [r["count"] for r in own.groupBy("part").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 2.5 * 900 / len(sizes) and len(sizes) > 2
+    got = fingerprints.fingerprint_pairs(df).collect()
+    assert sorted(r.fingerprint for r in got) == sorted(str(fingerprints.build(t)) for t in texts)
+    # following is one cycle over all rows: each text's start replaces the last third of exactly one other
+    order = own.orderBy("part", F.desc("key"), F.desc(F.xxhash64("text"))).select("text").collect()
+    want = {hashlib.sha256(fingerprints.edited(a.text, b.text).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r.edited_sha256 for r in got} == want
+
+
 def brute_licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII_LOWER))
     at = sorted((i, label) for p, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
