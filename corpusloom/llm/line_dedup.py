@@ -66,8 +66,10 @@ def islands(lines: DataFrame) -> DataFrame:
     own = lines.withColumn("island", place).groupBy(*KEY, "island").agg(F.sort_array(F.collect_list(F.struct("pos", "rank", "words"))).alias("ls"))
     own = own.select(*KEY, F.col("ls")[0]["pos"].alias("start"), F.col("ls.rank").alias("ranks"), F.col("ls.words").alias("words"))
     own = materialise(own.withColumn("content", F.sha2(F.array_join(F.col("ranks").cast("array<string>"), ","), 256)), "islands")
-    first = own.groupBy("content").agg(F.min(F.struct(*KEY, "start")).alias("first"))
-    return own.join(first, "content").withColumn("copy", F.struct(*KEY, "start") != F.col("first")).drop("content", "first")
+    first = own.groupBy("content").agg(F.min(F.struct(*KEY, "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written first, so that both sides of the join come as they were dealt and AQE splits a content that is hot
+    first = materialise(first, "first")
+    return own.join(first, "content", "left").withColumn("copy", F.coalesce(F.struct(*KEY, "start") != F.col("first"), F.lit(False))).drop("content", "first")
 
 
 def suffixes(own: DataFrame) -> DataFrame:
