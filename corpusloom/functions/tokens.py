@@ -32,8 +32,12 @@ def run_tokens(run: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Tokens of a text in order."""
-    return F.flatten(F.transform(runs(F.coalesce(text, F.lit(""))), run_tokens))
+    """Tokens of a text in order. Where no run has a capital after its first character, runs are lower-cased together,
+    without a step a run: a separator that no run holds keeps them apart."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.split(F.lower(F.array_join(runs(text), "\u0001")), "\u0001")
+    plain = F.when(F.rlike(text, F.lit(r"[\p{L}\p{Nd}]")), plain).otherwise(F.array().cast("array<string>"))
+    return F.when(F.rlike(text, F.lit(r"[\p{L}\p{Nd}]\p{Lu}")), F.flatten(F.transform(runs(text), run_tokens))).otherwise(plain)
 
 
 def distinct_tokens(text: Column) -> Column:

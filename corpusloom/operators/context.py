@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET, CHARS_A_TOKEN, CONTEXT_LINES = 8000, 4, 3
@@ -14,7 +14,16 @@ def estimated_tokens(text: Column) -> Column:
 
 def pack_blocks(blocks: DataFrame, by: list[str], budget: int = BUDGET) -> DataFrame:
     """Greedy packing of blocks (rank, tokens) in rank order: the first always goes in, clipped to the budget; a later one
-    that overflows is skipped and the next is tried. A fold over each query's own few blocks (top-k before)."""
+    that overflows is skipped and the next is tried.
+
+    A size that once overflows always will, so of blocks of one size only the first budget / size by rank can go in; the
+    fold is over these, a number that the budget bounds. Of blocks without tokens the fold sees the first; all go in.
+    """
+    size = F.least("tokens", F.lit(budget + 1))
+    nth, most = "nth_of_its_size", F.when(size == 0, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(budget) / size)))
+    counted = blocks.withColumn(nth, F.row_number().over(Window.partitionBy(*by, size).orderBy("rank")))
+    empty = counted.filter((F.col("tokens") == 0) & (F.col(nth) > 1)).drop(nth).withColumn("packed_tokens", F.lit(0).cast("long"))
+    blocks = counted.filter(F.col(nth) <= most).drop(nth)
     ordered = F.sort_array(F.collect_list(F.struct("rank", "tokens", *[c for c in blocks.columns if c not in (*by, "rank", "tokens")])))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<i:int,tokens:long>>").alias("kept"))
 
@@ -27,7 +36,8 @@ def pack_blocks(blocks: DataFrame, by: list[str], budget: int = BUDGET) -> DataF
     own = blocks.groupBy(*by).agg(ordered.alias("bs"))
     own = own.withColumn("state", F.aggregate(F.transform("bs", lambda b, i: F.struct(i.alias("i"), b.alias("b"))), start, step))
     rows = own.select(*by, "bs", F.explode("state.kept").alias("k"))
-    return rows.select(*by, F.element_at("bs", F.col("k.i") + 1).alias("b"), F.col("k.tokens").alias("packed_tokens")).select(*by, "b.*", "packed_tokens")
+    packed = rows.select(*by, F.element_at("bs", F.col("k.i") + 1).alias("b"), F.col("k.tokens").alias("packed_tokens")).select(*by, "b.*", "packed_tokens")
+    return packed.unionByName(empty)
 
 
 def clip_around(lines: list[str], salient: int, max_bytes: int) -> tuple[int, int]:

@@ -24,6 +24,13 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_totals(docs: DataFrame) -> DataFrame:
+    """term, df, cf: sums by term before the one shuffle, of a text's tokens and then its distinct tokens."""
+    rows = docs.select(F.size("tokens").alias("n"), F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("i", "term"))
+    repeat = (F.col("i") < F.col("n")).cast("long")
+    return rows.groupBy("term").agg(F.sum(1 - repeat).alias("df"), F.sum(repeat).alias("cf"))
+
+
 def with_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
 

@@ -35,7 +35,7 @@ def tokenize_terms(spark, d):
 
 
 def term_stats(spark, d):
-    return rank.term_stats(_docs(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
+    return rank.term_totals(_docs(spark, d)).filter("df >= 5")
 
 
 def doc_len(spark, d):
@@ -139,27 +139,14 @@ def import_dominance(spark, d):
 
 
 def block_pack(spark, d):
-    """Documents of a source, by length, into a budget of tokens: what fits in order, the first always."""
-    docs = table(spark, d, "documents").select("source", "doc_id", context.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    w = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("tokens"), "doc_id"))
-    return context.pack_blocks(docs.withColumn("rank", w).filter("rank <= 40"), ["source"], 4000).select("source", "rank", "doc_id", "packed_tokens")
-
-
-def block_pack_whole(spark, d):
-    """As block_pack(), with all documents of a source offered to the packing."""
+    """All documents of a source, by length, into a budget of tokens: what fits in order, the first always."""
     docs = table(spark, d, "documents").select("source", "doc_id", context.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     w = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("tokens"), "doc_id"))
     return context.pack_blocks(docs.withColumn("rank", w), ["source"], 4000).select("source", "rank", "doc_id", "packed_tokens")
 
 
-def numbered_source_whole(spark, d):
-    """As numbered_source(), of all lines of all documents."""
-    lines = corpus.lines_of(corpus.files_of(table(spark, d, "documents")), "doc_id")
-    return context.numbered_lines(lines, "doc_id").select("doc_id", F.sha2(F.col("source").cast("binary"), 256).alias("sha"))
-
-
 def numbered_source(spark, d):
-    lines = corpus.lines_of(corpus.files_of(table(spark, d, "documents")).filter("repo = 'src3'"), "doc_id").filter("line <= 500")
+    lines = corpus.lines_of(corpus.files_of(table(spark, d, "documents")), "doc_id")
     return context.numbered_lines(lines, "doc_id").select("doc_id", F.sha2(F.col("source").cast("binary"), 256).alias("sha"))
 
 
@@ -184,8 +171,9 @@ def vector_norms(spark, d):
 
 
 def vector_reuse(spark, d):
+    """Vectors stored are those of the labelled documents' texts."""
     docs = table(spark, d, "documents").select("doc_id", corpus.chunk_key(F.coalesce("text", F.lit(""))).alias("chunk_key"))
-    stored = docs.filter("doc_id < 500").groupBy("chunk_key").agg(F.min("doc_id").alias("stored"))
+    stored = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id").groupBy("chunk_key").agg(F.min("doc_id").alias("stored"))
     return vectors.reused(docs, stored).select("doc_id", F.col("stored").isNotNull().alias("reused"))
 
 
@@ -193,7 +181,7 @@ def _runs(spark, d):
     """A ranked list for each source: its documents by length; grades are quality, and toxic ones distract."""
     docs = table(spark, d, "documents")
     pos = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    ranked = docs.select(F.col("source").alias("query"), F.col("doc_id").alias("item"), pos.alias("pos")).filter("pos <= 50")
+    ranked = docs.select(F.col("source").alias("query"), F.col("doc_id").alias("item"), pos.alias("pos"))
     gold = table(spark, d, "labels").join(docs.select("doc_id", "source"), "doc_id").select(F.col("source").alias("query"), F.col("doc_id").alias("item"), (F.col("quality") - 2 * F.col("toxic")).alias("grade"))
     return ranked, gold
 
@@ -241,7 +229,7 @@ def _merge_sql(gap: int, extra: str) -> str:
 
 
 _RUNS = """
-ranked AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents QUALIFY pos <= 50),
+ranked AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents),
 gold AS (SELECT source AS query, doc_id AS item, quality - 2 * toxic AS grade FROM labels JOIN documents USING (doc_id)),
 g AS (SELECT r.*, coalesce(grade, 0) AS grade, least(10, max(pos) OVER (PARTITION BY r.query)) AS kk FROM ranked r LEFT JOIN gold USING (query, item)),
 per AS (SELECT query, max(kk) AS kk, count(*) FILTER (grade >= 1 AND pos <= kk) AS hits, coalesce(sum(CASE WHEN pos <= kk AND grade > 0 THEN (pow(2, grade) - 1) / log2(pos + 1) END), 0) AS dcg,
@@ -266,20 +254,18 @@ QUERIES = {
     "block_merge": (block_merge, _merge_sql(2, ", max(score) AS score, arg_max(line, (score, -start)) AS line")),
     "chunk_windows": (chunk_windows, f"WITH {_LINES}, n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id), w AS (SELECT doc_id, n, unnest(range(1, n + 1, 7)) AS s FROM n) SELECT doc_id, s AS start_line, least(s + 9, n) AS end_line FROM w WHERE s = 1 OR s + 2 < n"),
     "import_dominance": (import_dominance, None),
-    "block_pack": (block_pack, """WITH RECURSIVE b AS (SELECT source, doc_id, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY ceil(strlen(coalesce(text, '')) / 4) DESC, doc_id) AS rank FROM documents QUALIFY rank <= 40),
+    "block_pack": (block_pack, """WITH RECURSIVE b AS (SELECT source, doc_id, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY ceil(strlen(coalesce(text, '')) / 4) DESC, doc_id) AS rank FROM documents),
       p AS (SELECT source, rank, doc_id, least(tokens, 4000) AS used, true AS fits, least(tokens, 4000) AS packed_tokens FROM b WHERE rank = 1
         UNION ALL SELECT b.source, b.rank, b.doc_id, CASE WHEN p.used + tokens <= 4000 THEN p.used + tokens ELSE p.used END, p.used + tokens <= 4000, tokens FROM p JOIN b ON b.source = p.source AND b.rank = p.rank + 1)
       SELECT source, rank, doc_id, packed_tokens FROM p WHERE fits"""),
-    "numbered_source": (numbered_source, f"WITH {_LINES} SELECT doc_id, sha256(string_agg(lpad(line::VARCHAR, 6, ' ') || chr(9) || line_text, chr(10) ORDER BY line)) AS sha FROM lines WHERE repo = 'src3' AND line <= 500 GROUP BY doc_id"),
-    "block_pack_whole": (block_pack_whole, None),
-    "numbered_source_whole": (numbered_source_whole, f"WITH {_LINES} SELECT doc_id, sha256(string_agg(lpad(line::VARCHAR, 6, ' ') || chr(9) || line_text, chr(10) ORDER BY line)) AS sha FROM lines GROUP BY doc_id"),
+    "numbered_source": (numbered_source, f"WITH {_LINES} SELECT doc_id, sha256(string_agg(lpad(line::VARCHAR, 6, ' ') || chr(9) || line_text, chr(10) ORDER BY line)) AS sha FROM lines GROUP BY doc_id"),
     "cosine_all_pairs": (cosine_all_pairs, "SELECT a.vec_id, b.vec_id AS other_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.6 QUALIFY rank <= 5"),
     "similar_lsh": (similar_lsh, None),
     "quantize_int8": (quantize_int8, """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS scale FROM embeddings)
       SELECT vec_id, round(scale, 9) AS scale, round(list_dot_product(e, q), 6) AS exact, round(list_dot_product(list_transform(e, lambda x: round(x / scale)), q) * scale, 6) AS quantised FROM s, q"""),
     "vector_integrity": (vector_integrity, "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_length, count(*) - count(DISTINCT vec_id) AS repeated_ids FROM embeddings"),
     "vector_norms": (vector_norms, "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings"),
-    "vector_reuse": (vector_reuse, "WITH s AS (SELECT DISTINCT sha256(coalesce(text, '')) AS k FROM documents WHERE doc_id < 500) SELECT doc_id, sha256(coalesce(text, '')) IN (SELECT k FROM s) AS reused FROM documents"),
+    "vector_reuse": (vector_reuse, "WITH s AS (SELECT DISTINCT sha256(coalesce(text, '')) AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, sha256(coalesce(text, '')) IN (SELECT k FROM s) AS reused FROM documents"),
     "retrieval_metrics": (retrieval_metrics, f"WITH {_RUNS} SELECT * FROM m"),
     "metric_means": (metric_means, f"WITH {_RUNS} SELECT round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(udcg), 6) AS udcg, count(*) AS queries FROM m"),
     "group_kfold": (group_kfold, "SELECT doc_id, source, (dense_rank() OVER (ORDER BY source) - 1) % 5 AS fold FROM documents"),

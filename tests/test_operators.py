@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -199,9 +200,9 @@ def test_whole_sources(spark, tmp_path):
     sizes = [3000, *[1001] * 42, 300, 200]
     rows = [(i, "x" * 4 * n, "en", "a", 4 * n) for i, n in enumerate(sizes)] + [(100, long, "en", "b", len(long))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    packed = {r.doc_id for r in rank_plans.block_pack_whole(spark, str(tmp_path)).collect()}
+    packed = {r.doc_id for r in rank_plans.block_pack(spark, str(tmp_path)).collect()}
     assert packed == {0, 43, 44, 100}
-    got = {r.doc_id: r.sha for r in rank_plans.numbered_source_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.sha for r in rank_plans.numbered_source(spark, str(tmp_path)).collect()}
     want = "\n".join(f"{i:6d}\tline {i}" for i in range(1, 701))
     assert len(got) == len(rows) and got[100] == hashlib.sha256(want.encode()).hexdigest()
 
@@ -347,3 +348,20 @@ def test_battery_and_planned_search(spark):
         assert grep.regex(fs, r.pattern).count() == plain
     df = spark.createDataFrame([("a", x) for x in range(1, 101)], "b string, ms int")
     assert tuple(evaluation.nearest_rank(df, "b", "ms").first()) == ("a", 100, 51, 96, 100)
+
+
+def test_pack_blocks_by_brute_force(spark):
+    """Every greedy packing in rank order, with sizes over the budget, of zero, and repeated."""
+    rng = random.Random(7)
+    rows = [(q, i, rng.choice([0, 0, 1, 2, 3, 5, 8, 30, 41, 60])) for q in range(12) for i in range(rng.randrange(1, 120))]
+    want = set()
+    for q in range(12):
+        used, first = 0, True
+        for _, i, n in sorted(r for r in rows if r[0] == q):
+            n = min(n, 40) if first else n
+            if first or used + n <= 40:
+                used, first = used + n, False
+                want.add((q, i, n))
+    got = context.pack_blocks(spark.createDataFrame(rows, "q int, rank int, tokens long"), ["q"], 40)
+    assert got.columns == ["q", "rank", "tokens", "packed_tokens"]
+    assert {(r.q, r["rank"], r.packed_tokens) for r in got.collect()} == want and got.count() == len(want)
