@@ -27,6 +27,8 @@ from .common import drop_table, fresh, materialise, partitions, table
 
 #: One: a line in a script without spaces is one word, and only runs of blank lines are left.
 MIN_WORDS = 1
+#: Parts into which the islands of one content are dealt where they meet their first.
+SALTS = 64
 MAX_ID = (1 << 63) - 1
 KEY = ["doc", "t1", "t2"]
 
@@ -65,9 +67,12 @@ def islands(lines: DataFrame) -> DataFrame:
     place = F.col("pos") - F.row_number().over(Window.partitionBy(*KEY).orderBy("pos"))
     own = lines.withColumn("island", place).groupBy(*KEY, "island").agg(F.sort_array(F.collect_list(F.struct("pos", "rank", "words"))).alias("ls"))
     own = own.select(*KEY, F.col("ls")[0]["pos"].alias("start"), F.col("ls.rank").alias("ranks"), F.col("ls.words").alias("words"))
-    own = materialise(own.withColumn("content", F.sha2(F.array_join(F.col("ranks").cast("array<string>"), ","), 256)), "islands")
-    first = own.groupBy("content").agg(F.min(F.struct(*KEY, "start")).alias("first"))
-    return own.join(first, "content").withColumn("copy", F.struct(*KEY, "start") != F.col("first")).drop("content", "first")
+    own = own.withColumn("content", F.sha2(F.array_join(F.col("ranks").cast("array<string>"), ","), 256))
+    own = materialise(own.withColumn("salt", F.pmod(F.xxhash64(*KEY, "start"), F.lit(SALTS))), "islands")
+    # the first of each part, of these the first of a content, which goes back to the parts that there are
+    parts = own.groupBy("content", "salt").agg(F.min(F.struct(*KEY, "start")).alias("first"))
+    first = parts.groupBy("content").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts")).select("content", "first", F.explode("salts").alias("salt"))
+    return own.join(first, ["content", "salt"]).withColumn("copy", F.struct(*KEY, "start") != F.col("first")).drop("content", "salt", "first")
 
 
 def suffixes(own: DataFrame) -> DataFrame:
@@ -154,10 +159,27 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed and spans of removed lines of every document."""
+    """doc_id, n_lines, n_removed and spans of every document: runs of removed lines as start-end (from 0, end exclusive), comma-joined."""
     docs = table(spark, sf_dir, "documents")
     gone = removed_lines(docs).select(*[F.col(k).alias(k + "_") for k in KEY], "removed")
     keyed = docs.select("doc_id", F.size(F.split(_text(), "\n")).cast("long").alias("n_lines"), *_keys())
     met = keyed.join(gone, [F.col(k) == F.col(k + "_") for k in KEY], "left")
-    none = F.array().cast("array<int>")
-    return met.select("doc_id", "n_lines", F.size(F.coalesce("removed", none)).cast("long").alias("n_removed"), _spans(F.coalesce("removed", none)).alias("spans"))
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
+    spans = F.array_join(F.transform(_spans(gone), lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return met.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), spans.alias("spans"))
+
+
+# A line with words goes if it occurs before. A blank one lies in a removed run if it is reached from the last line with
+# words before it, or reaches the next one after it, by a run that occurs before: at `back` and `fore`. doc_id is unique.
+ORACLE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+w AS (SELECT *, regexp_matches(line, '[^\s\x0B]')::INT AS word FROM l),
+g AS (SELECT *, sum(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before, sum(word) OVER (PARTITION BY doc_id ORDER BY pos DESC) AS after FROM w),
+s AS (SELECT doc_id, pos, before, after, string_agg(line, chr(10)) OVER (PARTITION BY doc_id, before ORDER BY pos) AS back,
+  string_agg(line, chr(10)) OVER (PARTITION BY doc_id, after ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fore FROM g),
+r AS (SELECT doc_id, pos, (before > 0 AND row_number() OVER (PARTITION BY before > 0, back ORDER BY doc_id, pos) > 1) OR (after > 0 AND row_number() OVER (PARTITION BY after > 0, fore ORDER BY doc_id, pos) > 1) AS gone FROM s),
+i AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM r WHERE gone),
+p AS (SELECT doc_id, min(pos) AS a, max(pos) + 1 AS b FROM i GROUP BY doc_id, island),
+d AS (SELECT doc_id, sum(b - a)::BIGINT AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM p GROUP BY doc_id)
+SELECT t.doc_id, len(string_split(coalesce(t.text, ''), chr(10))) AS n_lines, coalesce(d.n, 0) AS n_removed, coalesce(d.spans, '') AS spans FROM documents t LEFT JOIN d ON t.doc_id = d.doc_id
+"""

@@ -13,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op2_chat_format": chat_format.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}

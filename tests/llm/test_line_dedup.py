@@ -78,3 +78,28 @@ def test_spans(spark):
     df = spark.createDataFrame([([0, 1, 4],), ([],), ([2],)], "r array<int>")
     got = [[(s.start, s.end) for s in r[0]] for r in df.select(line_dedup._spans(F.col("r"))).collect()]
     assert got == [[(0, 2), (4, 5)], [], [(2, 3)]]
+
+
+def test_hot_content(spark):
+    """A content on most documents: dealt into parts, one row a part, the first of all stays."""
+    rows = [(i, f"notice of use\nown {i}\n" + ("again\nand again" if i % 3 else "notice of use")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    own = line_dedup.islands(line_dedup.repeated(line_dedup.split_lines(df)))
+    assert own.filter("NOT copy").count() == 2 and own.count() == 800
+    assert {r.doc: r.removed for r in line_dedup.removed_lines(df).collect()} == {d: x for d, x in brute(rows, 1).items() if x}
+
+
+def test_sql_on_blank_lines(spark):
+    """The SQL against the operator on few, often blank, lines."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(4)
+    pool = ["", "", " ", "a", "b c", "続き", "\t"]
+    pdf = pd.DataFrame([(d, "\n".join(rng.choices(pool, k=rng.randrange(8)) + ([f"own {d}"] if d % 3 else []))) for d in range(200)], columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", pdf)
+    want = {r.doc_id: (r.n_lines, r.n_removed) for r in con.execute(line_dedup.ORACLE_SQL).df().itertuples()}
+    df = spark.createDataFrame(pdf)
+    gone = {r.doc: len(r.removed) for r in line_dedup.removed_lines(df).collect()}
+    assert {d: n for d, (_, n) in want.items() if n} == gone
