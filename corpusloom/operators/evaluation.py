@@ -45,6 +45,47 @@ def metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return out.select("query", zero(F.col("hits"), F.col("relevant")).alias("recall"), zero(F.col("hits"), F.col("kk")).alias("precision"), F.coalesce(F.round(1 / F.col("first_hit"), 6), F.lit(0.0)).alias("mrr"), zero(F.col("dcg"), F.col("idcg")).alias("ndcg"), zero(F.col("u"), F.col("idcg")).alias("udcg"))
 
 
+METRICS = ("recall", "precision", "mrr", "ndcg", "udcg")
+TIER_NAMES = ("Candidate", "Pattern", "Verified", "Proven")
+#: Fixed: what floors leave below a reviewed baseline.
+MEAN_SLACK, TIER_SLACK = 0.07, 0.10
+
+
+def graph_metrics(nodes: DataFrame, node_gold: DataFrame, edges: DataFrame, edge_gold: DataFrame, k: int) -> DataFrame:
+    """query and the metrics of a graph's answers, for queries with a relevant node or edge: of nodes and of edges, each
+    ranked apart, the mean of those with relevant ones. Ranked and gold as in metrics(); an unanswered query counts 0."""
+    parts = []
+    for ranked, gold in ((nodes, node_gold), (edges, edge_gold)):
+        asked = gold.filter("grade >= 1").select("query").distinct()
+        parts.append(asked.join(metrics(ranked, gold, k), "query", "left").select("query", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in METRICS]))
+    return parts[0].unionByName(parts[1]).groupBy("query").agg(*[F.round(F.avg(c), 7).alias(c) for c in METRICS])
+
+
+def tier_precision(edges: DataFrame, gold: DataFrame) -> DataFrame:
+    """tier, returned, hits, precision of the four tiers: edges (query, item, tier, pos) once each, at their first place."""
+    first = edges.groupBy("query", "item").agg(F.min(F.struct("pos", "tier"))["tier"].alias("tier"))
+    met = first.join(gold.select("query", "item", "grade"), ["query", "item"], "left").groupBy("tier").agg(F.count(F.lit(1)).alias("returned"), F.sum((F.coalesce("grade", F.lit(0)) >= 1).cast("long")).alias("hits"))
+    tiers = edges.sparkSession.createDataFrame([(t,) for t in TIER_NAMES], "tier string")
+    zero = F.lit(0).cast("long")
+    out = tiers.join(met, "tier", "left").select("tier", F.coalesce("returned", zero).alias("returned"), F.coalesce("hits", zero).alias("hits"))
+    return out.withColumn("precision", F.when(F.col("returned") > 0, F.round(F.col("hits") / F.col("returned"), 6)).otherwise(0.0))
+
+
+def calibrated_floors(report: dict[str, float], tiers: dict[str, float]) -> dict[str, float]:
+    """Floors from a reviewed baseline's means and precisions by tier (the lowest tier has none)."""
+    floors = {m: max(0.0, report[m] - MEAN_SLACK) for m in ("recall", "mrr", "ndcg")}
+    return floors | {t: max(0.0, tiers[t] - TIER_SLACK) for t in TIER_NAMES[1:]}
+
+
+def below_floors(report: dict[str, float], tiers: dict[str, float], floors: dict[str, float]) -> list[str]:
+    """The names of what lies below its floor; a floor that is missing or not from 0 to 1 is an error."""
+    got = {m: report[m] for m in ("recall", "mrr", "ndcg")} | {t: tiers[t] for t in TIER_NAMES[1:]}
+    for name in got:
+        if not 0 <= floors.get(name, float("nan")) <= 1:
+            raise ValueError(f"no valid floor for {name}")
+    return [name for name, value in got.items() if value < floors[name]]
+
+
 def means(per_query: DataFrame) -> DataFrame:
     return per_query.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg", "udcg")], F.count(F.lit(1)).alias("queries"))
 

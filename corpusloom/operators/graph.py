@@ -89,6 +89,23 @@ def neighbours(edges: DataFrame, anchors: DataFrame, floor: int = 2, limit: int
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def result_order(nodes: DataFrame, roots: list[tuple[str, str]], limit: int) -> DataFrame:
+    """The first nodes (node, hop, tier, symbol, repo, path; a row a location) of an answer, with their place: fewer hops,
+    the higher tier, a repository of the roots, the longer run of folders from the top shared with a root, symbol, node.
+
+    roots are (repo, path), the query's own few. Numbering is of the limited rows, after a distributed top-k.
+    """
+    folders = {tuple(p.removeprefix("./").split("/")[:-1]) for _, p in roots}
+    heads = sorted({"/".join(f[: i + 1]) for f in folders for i in range(len(f))})
+    parts = F.split(F.regexp_replace("path", r"^\./", ""), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    depth = F.size(F.array_intersect(above, F.array(*map(F.lit, heads)).cast("array<string>")))
+    near = F.coalesce(F.col("repo").isin(sorted({r for r, _ in roots})), F.lit(False))
+    own = nodes.groupBy("node", "hop", "tier", "symbol").agg(F.max(near).alias("same_repo"), F.max(F.coalesce(depth, F.lit(0))).alias("depth"))
+    by = [F.asc("hop"), F.desc("tier"), F.desc("same_repo"), F.desc("depth"), F.asc("symbol"), F.asc("node")]
+    return own.orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by)))
+
+
 def schema(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """what (node or edge), kind, n."""
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("what"), "kind", "n").unionByName(edges.groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("what"), "kind", "n"))

@@ -54,11 +54,15 @@ def matched(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, score over 0. Statistics are the whole corpus's."""
-    postings = matched(docs, terms)
+    return bm25_scores(matched(docs, terms), corpus_stats(docs))
+
+
+def bm25_scores(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """doc_id, score over 0 from a query's postings (doc_id, dl, term, tf) and the corpus's n and avgdl."""
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus_stats(docs)))  # df: a row a query term; statistics: one row
+    rows = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # df: a row a query term; statistics: one row
     return rows.groupBy("doc_id").agg(F.sum(part).alias("score")).filter("score > 0")
 
 
@@ -92,6 +96,13 @@ def dense_topk(vectors: DataFrame, query: list[float], k: int = DENSE_K, but: in
     return rows.select("vec_id", F.round(dot(F.col("embedding"), q), 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
+def best_chunks(chunks: DataFrame, query: list[float]) -> DataFrame:
+    """doc_id, chunk, cosine: of each document (doc_id, chunk, embedding) the chunk nearest to a query, of equal ones the first."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    best = F.min(F.struct((-F.round(dot(F.col("embedding"), q), 6)).alias("c"), "chunk")).alias("b")
+    return chunks.groupBy("doc_id").agg(best).select("doc_id", F.col("b.chunk").alias("chunk"), (-F.col("b.c")).alias("cosine"))
+
+
 def ranked(arm: DataFrame, score: str, k: int, by: str = "doc_id") -> DataFrame:
     """by, rank (from 1) of an arm's first k: pruned by a distributed top-k before the one-partition numbering of k rows."""
     top = arm.select(by, score).orderBy(F.desc(score), by).limit(k)

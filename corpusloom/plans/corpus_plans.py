@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import regexplan
-from ..operators import corpus, grep, incremental
+from ..operators import corpus, grep, incremental, index
 from ..session import table
 
 _FILES = """
@@ -61,7 +61,9 @@ def store_compact(spark, d):
 
 
 def store_integrity(spark, d):
-    return corpus.corrupt(corpus.blobs_of(_files(spark, d))).agg(F.count(F.lit(1)).alias("corrupt"))
+    """A store in which the blobs of every ninth document were changed behind their keys."""
+    changed = F.when(F.col("doc_id") % 9 == 0, F.concat("content", F.lit("?"))).otherwise(F.col("content"))
+    return corpus.corrupt(corpus.blobs_of(_files(spark, d)).withColumn("content", changed)).select("blob_sha", "doc_id")
 
 
 def grep_literal(spark, d):
@@ -113,6 +115,19 @@ def positional_join(spark, d):
     return grep.positional(corpus.blobs_of(_files(spark, d)), "Apache License")
 
 
+def gram_policy(spark, d):
+    """Grams of the distinct texts, and those that at most a fifth of the texts have."""
+    blobs = corpus.blobs_of(_files(spark, d))
+    pairs = blobs.select("blob_sha", F.explode(index.blob_grams(F.col("content"))).alias("gram"))
+    return index.gram_counts(pairs, blobs.count(), 0.2)
+
+
+def grep_indexed(spark, d):
+    """Search by a gram index without the commonest grams: only candidate texts are read."""
+    files = _files(spark, d)
+    return index.search(index.build_grams(corpus.blobs_of(files), 0.5), files, r"[Ll]icensed under (the )?[A-Z]+")
+
+
 def regex_candidates(spark, d):
     """Documents that may match by the required strings alone, and those that do."""
     pattern = r"(idiot|clown)[a-z ]+the"
@@ -122,7 +137,7 @@ def regex_candidates(spark, d):
 
 
 def path_segments(spark, d):
-    files = _files(spark, d).select("doc_id", "rel_path", corpus.vcs_internal(F.concat(F.lit(".git/"), F.col("rel_path"))).alias("inside"))
+    files = _files(spark, d).select("doc_id", "rel_path", corpus.vcs_internal(F.concat(F.element_at(F.array(F.lit(".git/"), F.lit("my.git/"), F.lit("a/.hg/")), (F.col("doc_id") % 3 + 1).cast("int")), F.col("rel_path"))).alias("inside"))
     return files.filter(corpus.under(F.col("rel_path"), "de/1") | F.col("rel_path").endswith("7")).select("doc_id", "inside")
 
 
@@ -138,11 +153,11 @@ def delta_classify(spark, d):
 
 
 def refresh_equals_full(spark, d):
-    """Word counts by document, refreshed for the changed ones only, against a full build."""
+    """Word counts by document, refreshed for the changed ones only, against a full build; every 49th change is missed."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = lambda df: df.select("doc_id", F.size(F.split("text", " ")).alias("n"))
     old = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.lit("an older text")).otherwise(F.col("text")))
-    changes = incremental.classify(old, docs, "doc_id", "text").filter("change <> 'same'")
+    changes = incremental.classify(old, docs, "doc_id", "text").filter("change <> 'same' AND doc_id % 49 <> 0")
     again = words(docs.join(changes.select("doc_id"), "doc_id", "left_semi"))
     return incremental.verdict(words(docs), incremental.refreshed(words(old), again, changes, "doc_id"))
 
@@ -167,7 +182,7 @@ QUERIES = {
     "repo_fingerprint": (repo_fingerprint, f"WITH {_FILES} SELECT repo, sha256(string_agg(DISTINCT blob_sha, ',' ORDER BY blob_sha)) AS fingerprint, count(DISTINCT blob_sha) AS n_blobs FROM files GROUP BY repo"),
     "store_put": (store_put, f"WITH {_FILES} SELECT DISTINCT blob_sha FROM files WHERE repo <> 'src0' AND blob_sha NOT IN (SELECT blob_sha FROM files WHERE repo = 'src0')"),
     "store_compact": (store_compact, f"WITH {_FILES} SELECT DISTINCT blob_sha FROM files WHERE repo <> 'src0'"),
-    "store_integrity": (store_integrity, "SELECT 0::BIGINT AS corrupt"),
+    "store_integrity": (store_integrity, f"WITH {_FILES} SELECT blob_sha, arg_min(doc_id, (repo, rel_path, doc_id)) AS doc_id FROM files GROUP BY blob_sha HAVING arg_min(doc_id, (repo, rel_path, doc_id)) % 9 = 0"),
     "grep_literal": (grep_literal, _grep_sql("contains(line_text, 'License')")),
     "grep_short": (grep_short, _grep_sql("contains(line_text, 'ß')")),
     "grep_regex": (grep_regex, _grep_sql("regexp_matches(line_text, '[Ll]icensed under (the )?[A-Z]+')")),
@@ -182,12 +197,14 @@ QUERIES = {
     "occurrence_count": (occurrence_count, f"WITH {_FILES}, p AS (SELECT doc_id, content, unnest(range(1, length(content) - 2)) AS i FROM files WHERE contains(content, 'thth')) SELECT doc_id, count(*) AS n FROM p WHERE substr(content, i, 4) = 'thth' GROUP BY doc_id"),
     "occurrence_locate": (occurrence_locate, f"WITH {_FILES}, p AS (SELECT doc_id, content, unnest(range(1, length(content) - 5)) AS i FROM files WHERE contains(content, 'License')) SELECT doc_id, i - 1 AS at FROM p WHERE substr(content, i, 7) = 'License'"),
     "line_of_offset": (line_of_offset, f"WITH {_FILES}, p AS (SELECT doc_id, content, unnest(range(1, length(content) - 5)) AS i FROM files WHERE contains(content, 'License')) SELECT doc_id, i - 1 AS at, 1 + length(left(content, i - 1)) - length(replace(left(content, i - 1), chr(10), '')) AS line FROM p WHERE substr(content, i, 7) = 'License'"),
-    "positional_join": (positional_join, None),
+    "positional_join": (positional_join, f"WITH {_FILES}, b AS (SELECT DISTINCT blob_sha, hex(encode(content)) AS h FROM files WHERE contains(content, 'Apa') AND contains(content, 'nse')), p AS (SELECT blob_sha, h, unnest(range(0, length(h) // 2 - 13)) AS i FROM b) SELECT blob_sha, i AS at FROM p WHERE substr(h, 2 * i + 1, 6) = '417061' AND substr(h, 2 * i + 23, 6) = '6E7365'"),
+    "gram_policy": (gram_policy, f"WITH {_FILES}, b AS (SELECT DISTINCT blob_sha, hex(encode(content)) AS h FROM files), g AS (SELECT unnest(list_distinct(list_concat(list_concat(regexp_extract_all(h, '.{{6}}'), regexp_extract_all(substr(h, 3), '.{{6}}')), regexp_extract_all(substr(h, 5), '.{{6}}')))) AS gram FROM b) SELECT gram, count(*) AS df, count(*) <= 0.2 * (SELECT count(*) FROM b) AS kept FROM g GROUP BY gram"),
+    "grep_indexed": (grep_indexed, _grep_sql("regexp_matches(line_text, '[Ll]icensed under (the )?[A-Z]+')")),
     "regex_candidates": (regex_candidates, f"WITH {_FILES} SELECT doc_id, regexp_matches(content, '(idiot|clown)[a-z ]+the') AS matches FROM files WHERE (contains(content, 'idiot') OR contains(content, 'clown')) AND contains(content, 'the')"),
-    "path_segments": (path_segments, f"WITH {_FILES} SELECT doc_id, true AS inside FROM files WHERE rel_path = 'de/1' OR rel_path LIKE '%7'"),
+    "path_segments": (path_segments, f"WITH {_FILES} SELECT doc_id, doc_id % 3 <> 1 AS inside FROM files WHERE rel_path = 'de/1' OR rel_path LIKE '%7'"),
     "delta_classify": (delta_classify, """WITH n AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents), o AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha END AS sha FROM n WHERE doc_id % 10 <> 0), m AS (SELECT * FROM n WHERE doc_id % 11 <> 0)
       SELECT coalesce(o.doc_id, m.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN m.doc_id IS NULL THEN 'removed' WHEN o.sha = m.sha THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN m ON o.doc_id = m.doc_id"""),
-    "refresh_equals_full": (refresh_equals_full, "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, 'OK' AS verdict"),
+    "refresh_equals_full": (refresh_equals_full, "WITH m AS (SELECT count(*) AS n FROM documents WHERE doc_id % 49 = 0 AND len(string_split(coalesce(text, ''), ' ')) <> 3) SELECT n AS missing, n AS extra, CASE WHEN n = 0 THEN 'OK' ELSE 'BOTH' END AS verdict FROM m"),
     "reconcile": (reconcile, """WITH m AS (SELECT doc_id AS project, CASE WHEN doc_id % 13 = 0 THEN 'elsewhere' ELSE source END AS path, CASE WHEN doc_id % 17 = 0 THEN -1 ELSE n_chars END AS head FROM documents WHERE doc_id % 5 <> 0), r AS (SELECT doc_id AS project, source AS path, n_chars AS head FROM documents WHERE doc_id % 3 <> 0)
       SELECT coalesce(m.project, r.project) AS project, CASE WHEN m.project IS NULL THEN 'add' WHEN r.project IS NULL THEN 'missing' WHEN m.path <> r.path THEN 'move' WHEN m.head <> r.head THEN 'update' ELSE 'keep' END AS action FROM m FULL JOIN r ON m.project = r.project"""),
 }

@@ -90,6 +90,16 @@ def connected_roots(spark, d):
     return graph.connected_roots(_roots(spark, "r1", "r99", "n1"), _edges(spark, d).filter("type = 'depends_on'"))
 
 
+def result_order(spark, d):
+    """Nodes near a region, with customers' and suppliers' segments and names as places, in the order of an answer."""
+    edges = _raw_edges(spark, d).filter("type IN ('depends_on', 'imports', 'calls')")
+    near = graph.traverse(graph.deduplicated(edges.filter("evidence <> 'orders'")), _roots(spark, "r1"), 2)
+    places = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.concat(F.lit("./a/b/"), F.col("n_nationkey") % 3, F.lit("/x")).alias("path"), F.col("n_name").alias("symbol"), (F.col("n_nationkey") % 2).cast("string").alias("repo"))
+    places = places.unionByName(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.concat(F.lit("a/"), F.col("c_custkey") % 4, F.lit("/"), F.col("c_custkey") % 3, F.lit("/x")).alias("path"), F.col("c_name").alias("symbol"), (F.col("c_custkey") % 5).cast("string").alias("repo")))
+    nodes = near.join(places, F.col("node") == F.col("key")).select("node", "hop", "tier", "symbol", "repo", "path")
+    return graph.result_order(nodes, [("1", "a/b/2/root"), ("3", "./a/3/1/root")], 200).select("place", "node", "same_repo", F.col("depth").cast("long").alias("depth"))
+
+
 def name_join(spark, d):
     """Customers of equal names' last digits, across nations."""
     own = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.substring("c_name", -4, 4).alias("name"), F.col("c_nationkey").alias("repo"))
@@ -204,7 +214,10 @@ def facts_contract_impact(spark, d):
 
 
 def facts_integrity(spark, d):
+    """Every fifth source is gone, and every seventh line of an order ends before it starts."""
     bindings, sources, _ = _facts(spark, d)
+    sources = sources.filter("CAST(substring(source_id, 2) AS LONG) % 5 <> 0")
+    bindings = bindings.withColumn("end", F.when(F.col("start") == 7, F.col("start") - 1).otherwise(F.col("end")))
     return facts.dangling(bindings, "source_id", sources, "source_id").agg(F.count(F.lit(1)).alias("dangling")).crossJoin(facts.bad_spans(bindings).agg(F.count(F.lit(1)).alias("bad_spans")))  # one row each
 
 
@@ -234,6 +247,10 @@ def _first(*nodes: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS node, 0 AS hop, 4 AS tier" for n in nodes)
 
 
+_ROUTES_SQL = r"""WITH c AS (SELECT page_id, string_split(lower(trim(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/')), '/') AS s FROM pages),
+      m AS (SELECT page_id AS call_id, 'h1' AS handler_id, 'Parameterized' AS quality FROM c WHERE len(s) = 2 AND s[1] = 'en' UNION ALL SELECT page_id, 'h2', 'Parameterized' FROM c WHERE len(s) = 2 AND s[1] = 'fr' UNION ALL SELECT page_id, 'h3', 'Parameterized' FROM c WHERE s[1] = 'de' AND len(s) >= 2 UNION ALL SELECT page_id, 'h5', 'Exact' FROM c WHERE s = ['en', '770'] UNION ALL SELECT page_id, 'h6', 'Parameterized' FROM c WHERE len(s) = 3 AND s[1] = 'es' AND s[3] = 'more')
+      SELECT *, CASE WHEN count(*) OVER (PARTITION BY call_id) = 1 THEN 'Pattern' ELSE 'Candidate' END AS tier FROM m"""
+
 QUERIES = {
     "edges_dedup": (edges_dedup, f"WITH {_EDGES_SQL} SELECT * FROM edges"),
     "edge_upgrade": (edge_upgrade, f"WITH {_EDGES_SQL}, both_ AS (SELECT * FROM raw UNION ALL SELECT src, dst, type, 4, 'again' FROM raw WHERE evidence = 'customer' AND substr(src, 2)::BIGINT % 2 = 0), u AS (SELECT src, dst, type, max(tier) AS tier, arg_min(evidence, (-tier, evidence)) AS evidence FROM both_ GROUP BY ALL) SELECT type, tier, evidence, count(*) AS n FROM u GROUP BY ALL".replace("GROUP BY ALL) SELECT type", "GROUP BY src, dst, type) SELECT type")),
@@ -246,7 +263,10 @@ QUERIES = {
     "tier_counts": (tier_counts, f"WITH {_EDGES_SQL} SELECT type, tier, count(*) AS n, CASE tier WHEN 1 THEN 0.3 WHEN 2 THEN 0.6 WHEN 3 THEN 0.85 ELSE 1.0 END::DOUBLE AS score FROM edges GROUP BY type, tier"),
     "fan_out_percentiles": (fan_out_percentiles, f"WITH {_EDGES_SQL}, k AS (SELECT count(*) AS k FROM edges WHERE type = 'references' GROUP BY src), o AS (SELECT k, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM k) SELECT min(k) FILTER (r >= ceil(n * 50 / 100)) AS p50, min(k) FILTER (r >= ceil(n * 90 / 100)) AS p90, min(k) FILTER (r >= ceil(n * 99 / 100)) AS p99 FROM o"),
     "traversal_budget": (traversal_budget, f"WITH {_EDGES_SQL} SELECT count(*) AS edges, count(*) > 10000 AS truncated FROM edges"),
-    "connected_roots": (connected_roots, "SELECT 'r1' AS node UNION ALL SELECT 'n1'"),
+    "connected_roots": (connected_roots, f"WITH {_EDGES_SQL}, r AS (SELECT unnest(['r1', 'r99', 'n1']) AS node), t AS (SELECT node FROM r WHERE node IN (SELECT src FROM edges WHERE type = 'depends_on') OR node IN (SELECT dst FROM edges WHERE type = 'depends_on')) SELECT node FROM r WHERE node IN (SELECT node FROM t) OR NOT EXISTS (SELECT 1 FROM t)"),
+    "result_order": (result_order, """WITH p AS (SELECT 'n' || n_nationkey AS node, 1 AS hop, 4 AS tier, n_name AS symbol, n_nationkey % 2 = 1 AS same_repo, 2 + (n_nationkey % 3 = 2)::INT AS depth FROM nation WHERE n_regionkey = 1
+        UNION ALL SELECT 'c' || c_custkey, 2, 2, c_name, c_custkey % 5 IN (1, 3), CASE WHEN c_custkey % 4 <> 3 THEN 1 WHEN c_custkey % 3 = 1 THEN 3 ELSE 2 END FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1)
+      SELECT row_number() OVER (ORDER BY hop, tier DESC, same_repo DESC, depth DESC, symbol, node) AS place, node, same_repo, depth FROM p QUALIFY place <= 200"""),
     "name_join": (name_join, "SELECT c_custkey AS site, -s_suppkey AS target, right(c_name, 4) AS name, CASE WHEN c_nationkey = s_nationkey THEN 2 ELSE 1 END AS tier FROM customer JOIN supplier ON right(c_name, 4) = right(s_name, 4) WHERE c_custkey <> -s_suppkey"),
     "communities": (communities, None),
     "list_repos": (list_repos, "SELECT source AS repo, count(*) AS files FROM documents GROUP BY source"),
@@ -254,10 +274,8 @@ QUERIES = {
     "read_source": (read_source, "WITH f AS (SELECT lang || '/' || doc_id AS rel_path, string_split(text, chr(10)) AS ls, text FROM documents WHERE doc_id = 8), l AS (SELECT rel_path, unnest(range(1, len(ls) + 1 - (text LIKE '%' || chr(10))::INT)) AS line, ls FROM f) SELECT rel_path, line, ls[line] AS line_text FROM l WHERE line BETWEEN 2 AND 501"),
     "list_symbols": (list_symbols, "SELECT DISTINCT p_name AS name, p_brand AS kind FROM part ORDER BY name, kind LIMIT 200"),
     "url_template": (url_template, r"SELECT page_id, '/' || lower(trim(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/')) AS template FROM pages"),
-    "route_match": (route_match, r"""WITH c AS (SELECT page_id, string_split(lower(trim(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/')), '/') AS s FROM pages),
-      m AS (SELECT page_id AS call_id, 'h1' AS handler_id, 'Parameterized' AS quality FROM c WHERE len(s) = 2 AND s[1] = 'en' UNION ALL SELECT page_id, 'h2', 'Parameterized' FROM c WHERE len(s) = 2 AND s[1] = 'fr' UNION ALL SELECT page_id, 'h3', 'Parameterized' FROM c WHERE s[1] = 'de' AND len(s) >= 2 UNION ALL SELECT page_id, 'h5', 'Exact' FROM c WHERE s = ['en', '770'] UNION ALL SELECT page_id, 'h6', 'Parameterized' FROM c WHERE len(s) = 3 AND s[1] = 'es' AND s[3] = 'more')
-      SELECT *, CASE WHEN count(*) OVER (PARTITION BY call_id) = 1 THEN 'Pattern' ELSE 'Candidate' END AS tier FROM m"""),
-    "route_report": (route_report, None),
+    "route_match": (route_match, _ROUTES_SQL),
+    "route_report": (route_report, f"SELECT 6 AS handlers, (SELECT count(*) FROM pages) AS calls, count(DISTINCT call_id) AS matched, count(*) AS edges FROM ({_ROUTES_SQL})"),
     "html_tags": (html_tags, r"SELECT tag, count(*) AS pages FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9-]*)[\s>/]', 1))) AS tag FROM pages) GROUP BY tag"),
     "dependency_names": (dependency_names, r"SELECT p_partkey, lower(regexp_replace(trim(replace(p_name, ' ', '_.')), '[-_.]+', '-', 'g')) AS name FROM part"),
     "manifest_resolve": (manifest_resolve, """WITH need AS (SELECT DISTINCT 'c' || c_nationkey AS repo, 'x/' || c_nationkey || '/' || (c_custkey % 7) || '/pkg' AS name, 'x/' || c_nationkey AS k1, 'x/' || c_nationkey || '/' || (c_custkey % 7) AS k2 FROM customer),
@@ -270,6 +288,6 @@ QUERIES = {
     "facts_binding_at": (facts_binding_at, f"WITH {_FACTS_SQL} SELECT binding_id, caller_id, callee_id FROM b WHERE source_id = 's3' AND start <= 10 AND \"end\" > 10 ORDER BY \"end\" - start, binding_id LIMIT 100"),
     "facts_trace_calls": (facts_trace_calls, f"WITH {_FACTS_SQL} SELECT DISTINCT caller_id AS node, 1 AS hop, 4 AS tier FROM b WHERE callee_id = 'p7' UNION ALL SELECT 'p7', 0, 4"),
     "facts_contract_impact": (facts_contract_impact, f"WITH {_FACTS_SQL} SELECT DISTINCT caller_id, callee_id, callee_id <> 'p60' AS via_interface FROM b WHERE callee_id = 'p60' OR callee_id IN (SELECT interface_id FROM im WHERE implementation_id = 'p60')"),
-    "facts_integrity": (facts_integrity, "SELECT 0::BIGINT AS dangling, 0::BIGINT AS bad_spans"),
+    "facts_integrity": (facts_integrity, "SELECT count(*) FILTER (l_suppkey % 5 = 0 OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) AS dangling, count(*) FILTER (l_linenumber = 7) AS bad_spans FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
     "events_by_hour": (events_by_hour, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import tokenize
 from ..functions.vector import norm
-from ..operators import context, corpus, evaluation, rank, spans, vectors
+from ..operators import context, corpus, evaluation, index, rank, spans, vectors
 from ..session import table
 
 #: The query of the ranking plans.
@@ -51,6 +51,12 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).orderBy(F.desc("score"), "doc_id").limit(TOP)
 
 
+def bm25_indexed(spark, d):
+    """The same from a kept index: postings of the query's terms alone."""
+    kept = index.build_tokens(_docs(spark, d))
+    return index.bm25(kept, QUERY).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(TOP)
+
+
 def _paths(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("path"))
 
@@ -63,7 +69,7 @@ def symbol_arm(spark, d):
     """First words of lines stand for symbol names."""
     files = corpus.files_of(table(spark, d, "documents"))
     entries = corpus.lines_of(files, "doc_id").select("doc_id", F.col("line").alias("start"), F.array_join(F.slice(F.split("line_text", " "), 1, 3), " ").alias("name"))
-    return rank.summed_coverage(entries, ["licensed", "under", "the"])
+    return rank.summed_coverage(entries, ["licensed", "under", "the"]).select("doc_id", F.col("score").cast("long").alias("score"), F.col("start").cast("long").alias("start"))
 
 
 def _query_vector(spark, d) -> list[float]:
@@ -74,6 +80,12 @@ def dense_topk(spark, d):
     return rank.dense_topk(table(spark, d, "embeddings"), _query_vector(spark, d), TOP, but=0)
 
 
+def best_chunk(spark, d):
+    """Four vectors are the chunks of a document."""
+    chunks = table(spark, d, "embeddings").filter("vec_id <> 0").select(F.floor(F.col("vec_id") / 4).alias("doc_id"), (F.col("vec_id") % 4).alias("chunk"), "embedding")
+    return rank.best_chunks(chunks, _query_vector(spark, d))
+
+
 def _arms(spark, d):
     lexical = rank.ranked(_bm25(spark, d), "score", rank.DENSE_K)
     dense = rank.dense_topk(table(spark, d, "embeddings"), _query_vector(spark, d), rank.DENSE_K)
@@ -154,6 +166,11 @@ def cosine_all_pairs(spark, d):
     return vectors.similar(table(spark, d, "embeddings"))
 
 
+def cosine_near(spark, d):
+    """The three most alike at 0.3 or more, a threshold that many vectors meet."""
+    return vectors.similar(table(spark, d, "embeddings"), 3, 0.3)
+
+
 def similar_lsh(spark, d):
     return vectors.similar_lsh(table(spark, d, "embeddings"), 64)
 
@@ -194,6 +211,23 @@ def metric_means(spark, d):
     return evaluation.means(evaluation.metrics(*_runs(spark, d), 10))
 
 
+def tier_precision(spark, d):
+    """Suppliers of a nation by balance stand for edges, every third is right."""
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("query"), F.col("s_suppkey").alias("item"), "s_acctbal")
+    tier = F.element_at(F.array(*map(F.lit, evaluation.TIER_NAMES)), (F.col("item") % 5 + 1).cast("int"))
+    edges = rows.filter("item % 5 <> 4").select("query", "item", tier.alias("tier"), F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s_acctbal"), "item")).alias("pos"))
+    return evaluation.tier_precision(edges, rows.filter("item % 3 = 0").select("query", "item", F.lit(1).alias("grade")))
+
+
+def graph_evaluation(spark, d):
+    """Node answers by source as in _runs; edge answers by source are the documents in order, those of quality right."""
+    nodes, gold = _runs(spark, d)
+    docs = table(spark, d, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("item"))
+    edges = docs.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy("item")))
+    right = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("item"), F.lit(1).alias("grade")).join(docs, "item").select("query", "item", "grade")
+    return evaluation.graph_metrics(nodes, gold, edges, right, 10)
+
+
 def group_kfold(spark, d):
     return evaluation.group_folds(table(spark, d, "documents").select("doc_id", "source"), "source", 5).select("doc_id", "source", F.col("fold").cast("long").alias("fold"))
 
@@ -244,7 +278,20 @@ QUERIES = {
     "doc_len": (doc_len, f"WITH {_TOK} SELECT doc_id, dl, count(*) OVER () AS n, round(sum(dl) OVER () / count(*) OVER (), 6) AS avgdl FROM dl"),
     "bm25_topk": (bm25_topk, f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY round(score, 6) DESC, doc_id LIMIT {TOP}"),
     "path_arm": (path_arm, "SELECT * FROM (SELECT doc_id, (source = 'src1')::INT + (lang = 'en')::INT AS hits FROM documents) WHERE hits >= 2"),
-    "symbol_arm": (symbol_arm, None),
+    "symbol_arm": (symbol_arm, f"WITH {_LINES}, n AS (SELECT doc_id, line, regexp_extract_all(lower(array_to_string(string_split(line_text, ' ')[1:3], ' ')), '[\\p{{L}}\\p{{Nd}}]+') AS ws FROM lines) SELECT doc_id, 3 * count(*) AS score, min(line) AS start FROM n WHERE list_has_all(ws, ['licensed', 'under', 'the']) GROUP BY doc_id"),
+    "bm25_indexed": (bm25_indexed, f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY round(score, 6) DESC, doc_id LIMIT {TOP}"),
+    "best_chunk": (best_chunk, "WITH c AS (SELECT vec_id // 4 AS doc_id, vec_id % 4 AS chunk, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS cosine FROM embeddings WHERE vec_id <> 0) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, chunk) = 1"),
+    "tier_precision": (tier_precision, "WITH t AS (SELECT unnest(['Candidate', 'Pattern', 'Verified', 'Proven']) AS tier, unnest([0, 1, 2, 3]) AS r), e AS (SELECT s_suppkey % 5 AS r, count(*) AS returned, count(*) FILTER (s_suppkey % 3 = 0) AS hits FROM supplier GROUP BY 1) SELECT tier, coalesce(returned, 0) AS returned, coalesce(hits, 0) AS hits, coalesce(round(hits / returned, 6), 0.0)::DOUBLE AS precision FROM t LEFT JOIN e USING (r)"),
+    "graph_evaluation": (graph_evaluation, f"""WITH {_RUNS},
+      eg AS (SELECT source AS query, doc_id AS item FROM labels JOIN documents USING (doc_id) WHERE quality = 1),
+      er AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
+      ek AS (SELECT query, least(10, max(n)) AS kk FROM er GROUP BY query),
+      ep AS (SELECT er.query, er.pos, kk, eg.item IS NOT NULL AS hit FROM er JOIN ek USING (query) LEFT JOIN eg ON eg.query = er.query AND eg.item = er.item),
+      e1 AS (SELECT query, max(kk) AS kk, count(*) FILTER (hit AND pos <= kk) AS hits, coalesce(sum(1 / log2(pos + 1)) FILTER (hit AND pos <= kk), 0) AS dcg, coalesce(sum(CASE WHEN hit THEN 1 ELSE -0.5 END / log2(pos + 1)) FILTER (pos <= kk), 0) AS u, min(pos) FILTER (hit) AS fh, count(*) FILTER (hit) AS relevant FROM ep GROUP BY query),
+      e2 AS (SELECT *, (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, least(kk, relevant) + 1)) AS i)) AS idcg FROM e1 WHERE relevant > 0),
+      both_ AS (SELECT query, round(hits / relevant, 6) AS recall, round(hits / kk, 6) AS precision, coalesce(round(1 / fh, 6), 0) AS mrr, round(dcg / idcg, 6) AS ndcg, round(u / idcg, 6) AS udcg FROM e2
+        UNION ALL SELECT * FROM m WHERE query IN (SELECT query FROM gold WHERE grade >= 1))
+      SELECT query, round(avg(recall), 7) AS recall, round(avg(precision), 7) AS precision, round(avg(mrr), 7) AS mrr, round(avg(ndcg), 7) AS ndcg, round(avg(udcg), 7) AS udcg FROM both_ GROUP BY query"""),
     "dense_topk": (dense_topk, f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]), 6) AS cosine FROM embeddings, q WHERE vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT {TOP}"),
     "hybrid_rank": (hybrid_rank, f"WITH {_ARMS} SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM arms GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {TOP}"),
     "rank_features": (rank_features, f"WITH {_FEATURES} SELECT * FROM feat"),
@@ -260,7 +307,8 @@ QUERIES = {
       SELECT source, rank, doc_id, packed_tokens FROM p WHERE fits"""),
     "numbered_source": (numbered_source, f"WITH {_LINES} SELECT doc_id, sha256(string_agg(lpad(line::VARCHAR, 6, ' ') || chr(9) || line_text, chr(10) ORDER BY line)) AS sha FROM lines GROUP BY doc_id"),
     "cosine_all_pairs": (cosine_all_pairs, "SELECT a.vec_id, b.vec_id AS other_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.6 QUALIFY rank <= 5"),
-    "similar_lsh": (similar_lsh, None),
+    "cosine_near": (cosine_near, "SELECT a.vec_id, b.vec_id AS other_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3 QUALIFY rank <= 3"),
+    "similar_lsh": (similar_lsh, "SELECT a.vec_id, b.vec_id AS other_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.6 QUALIFY rank <= 5"),  # exact up to 4096 vectors
     "quantize_int8": (quantize_int8, """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS scale FROM embeddings)
       SELECT vec_id, round(scale, 9) AS scale, round(list_dot_product(e, q), 6) AS exact, round(list_dot_product(list_transform(e, lambda x: round(x / scale)), q) * scale, 6) AS quantised FROM s, q"""),
     "vector_integrity": (vector_integrity, "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_length, count(*) - count(DISTINCT vec_id) AS repeated_ids FROM embeddings"),
