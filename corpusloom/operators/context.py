@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +107,15 @@ def expand_block(lines: list[str], first: int, last: int, pad: int = CONTEXT_LIN
         a -= a > 1 and not blank(a - 1) and indent(a - 1) < least
         low, high = min(low, a), max(high, b)
     return low, high
+
+
+def expand_scoped(lines: list[str], first: int, last: int, scope: tuple[int, int] | None, pad: int = CONTEXT_LINES) -> tuple[int, int]:
+    """A hit's block as the definition around its first line: scope is its bytes (end exclusive), as symbols.enclosing
+    finds it. Without one, or with an empty one, as expand_block."""
+    if scope is None or scope[1] <= scope[0] or not lines:
+        return expand_block(lines, first, last, pad)
+    starts = [0]
+    for x in lines[:-1]:
+        starts.append(starts[-1] + len(x.encode()) + 1)
+    low, high = (max(1, bisect_right(starts, at)) for at in (scope[0], scope[1] - 1))
+    return low, max(low, high)

@@ -122,6 +122,38 @@ def fan_out(edges: DataFrame, percents: tuple[int, ...] = (50, 90, 99)) -> DataF
     return run.agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p / 100), F.col("k"))).alias(f"p{p}") for p in percents])
 
 
+#: Fixed: bins of the targets that a call site has, by their largest number.
+FAN_BINS = ((1, "1"), (4, "2-4"), (16, "5-16"), (64, "17-64"), (None, "65+"))
+
+
+def call_audit(calls: DataFrame, site_repos: DataFrame, covered: DataFrame) -> DataFrame:
+    """measure, n: sites, edges, definitions, sites by bin of targets, p50, p95 and max of targets a site, sites in several
+    repositories, sites that a language server confirmed. calls: site, target; site_repos: site, repo; covered: site."""
+    pairs = calls.select("site", "target").distinct()
+    per = pairs.groupBy("site").agg(F.count(F.lit(1)).alias("k"))
+    bins, low = [], 0
+    for high, name in FAN_BINS:
+        bins.append(F.count_if((F.col("k") > low) & (F.lit(True) if high is None else F.col("k") <= high)).alias(name))
+        low = high
+    several = site_repos.groupBy("site").agg((F.count_distinct("repo") > 1).alias("several")).filter("several").join(per, "site", "left_semi")
+    parts = [
+        per.agg(F.count(F.lit(1)).alias("sites"), F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.max("k").alias("max"), *bins),
+        pairs.agg(F.count_distinct("target").alias("definitions")),
+        fan_out(pairs.select(F.col("site").alias("src")), (50, 95)),
+        several.agg(F.count(F.lit(1)).alias("several_repos")),
+        per.join(covered.select("site").distinct(), "site", "left_semi").agg(F.count(F.lit(1)).alias("covered")),
+    ]
+    row = reduce(DataFrame.crossJoin, parts)  # one row each
+    shown = [F.struct(F.lit(c).alias("measure"), F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0).cast("long")).alias("n")) for c in row.columns]
+    return row.select(F.explode(F.array(*shown)).alias("m")).select("m.measure", "m.n")
+
+
+def audit_sample(calls: DataFrame, limit: int, seed: int) -> DataFrame:
+    """site, targets of some sites, the same for the same seed: those of the least hashes."""
+    per = calls.groupBy("site").agg(F.count_distinct("target").alias("targets"))
+    return per.orderBy(F.xxhash64("site", F.lit(seed)), "site").limit(limit)
+
+
 def same_name_edges(occurrences: DataFrame, definitions: DataFrame) -> DataFrame:
     """Candidate edges from occurrences (site, name, repo) to definitions (target, name, repo) of the name, not to themselves."""
     met = occurrences.join(definitions.withColumnRenamed("name", "n2").withColumnRenamed("repo", "target_repo"), F.col("name") == F.col("n2")).filter("site <> target")

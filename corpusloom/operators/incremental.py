@@ -35,3 +35,21 @@ def reconcile(managed: DataFrame, remote: DataFrame) -> DataFrame:
     met = m.join(r, "project", "full_outer")
     action = F.when(F.col("m").isNull(), "add").when(F.col("r").isNull(), "missing").when(F.col("p0") != F.col("p1"), "move").when(~F.col("h0").eqNullSafe(F.col("h1")), "update").otherwise("keep")
     return met.select("project", action.alias("action"))
+
+
+def merged_identity(left: dict, right: dict) -> dict:
+    """The identity of an answer from two snapshots (corpus, graph_corpus, generation, build, blobs, unanchored, cacheable).
+
+    The first corpus stands; another beside it is the graph's. What the right one knows of the graph goes before. With
+    two different corpora, or paths without a blob, the answer must not be cached.
+    """
+    out = {k: right.get(k) or left.get(k) for k in ("graph_corpus", "generation", "build")}
+    out["corpus"] = left.get("corpus") or right.get("corpus")
+    other = right.get("corpus")
+    if not right.get("graph_corpus") and other and other != out["corpus"]:
+        out["graph_corpus"] = other
+    for k in ("blobs", "unanchored"):
+        out[k] = sorted({*left.get(k, ()), *right.get(k, ())})
+    conflict = bool(out["corpus"] and out["graph_corpus"] and out["corpus"] != out["graph_corpus"])
+    out["cacheable"] = bool(left.get("cacheable") and right.get("cacheable") and not conflict and not out["unanchored"])
+    return out

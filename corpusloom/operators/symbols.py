@@ -100,6 +100,19 @@ def exported(name):
     return F.rlike(name, F.lit(r"^\p{Lu}")) & (F.octet_length(name) >= 3)
 
 
+def sweep(found: DataFrame) -> DataFrame:
+    """One row: names of a corpus (name), those for which candidates are generated, and those left out."""
+    names = found.select("name").distinct()
+    return names.agg(F.count(F.lit(1)).alias("names"), F.count_if(exported(F.col("name"))).alias("generated")).select("names", "generated", (F.col("names") - F.col("generated")).alias("excluded"))
+
+
+def cross_shard(definitions: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Names with an occurrence (name, shard) that may lead to another shard: definitions in several, or none in its own."""
+    held = definitions.groupBy(F.col("name").alias("n")).agg(F.min("shard").alias("least"), F.max("shard").alias("most"))
+    met = occurrences.select("name", "shard").distinct().join(held, F.col("name") == F.col("n"), "left")
+    return met.filter("least IS NULL OR least <> most OR least <> shard").select("name").distinct()
+
+
 #: Architectural kinds in the order in which they win, the marker a file must hold, and an expression whose group 1 names the symbol.
 KINDS = (
     ("route", "[Http", r"\[Http(?:Get|Post|Put|Delete|Patch)[^\]]*\]\s*(?:\[[^\]]*\]\s*)*(?:public|private|protected|internal)[\w\s<>\[\],.?]*?\b(\w+)\s*\("),

@@ -100,6 +100,23 @@ def result_order(spark, d):
     return graph.result_order(nodes, [("1", "a/b/2/root"), ("3", "./a/3/1/root")], 200).select("place", "node", "same_repo", F.col("depth").cast("long").alias("depth"))
 
 
+def call_audit(spark, d):
+    """Orders are call sites, parts their targets, suppliers modulo 3 the repositories; every fourth order is confirmed."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_partkey").alias("target"), (F.col("l_suppkey") % 3).alias("repo"))
+    return graph.call_audit(rows, rows, rows.filter("site % 4 = 0"))
+
+
+def name_sweep(spark, d):
+    """First words of documents are the names."""
+    return symbols.sweep(table(spark, d, "documents").select(F.get(F.split(F.coalesce("text", F.lit("")), " "), F.lit(0)).alias("name")))
+
+
+def cross_shard(spark, d):
+    """Supplier numbers modulo 150 are defined, customer numbers modulo 200 used, in shards by nation."""
+    defs = table(spark, d, "supplier").select((F.col("s_suppkey") % 150).alias("name"), (F.col("s_nationkey") % 3).alias("shard"))
+    return symbols.cross_shard(defs, table(spark, d, "customer").select((F.col("c_custkey") % 200).alias("name"), (F.col("c_nationkey") % 3).alias("shard")))
+
+
 def name_join(spark, d):
     """Customers of equal names' last digits, across nations."""
     own = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.substring("c_name", -4, 4).alias("name"), F.col("c_nationkey").alias("repo"))
@@ -267,6 +284,15 @@ QUERIES = {
     "result_order": (result_order, """WITH p AS (SELECT 'n' || n_nationkey AS node, 1 AS hop, 4 AS tier, n_name AS symbol, n_nationkey % 2 = 1 AS same_repo, 2 + (n_nationkey % 3 = 2)::INT AS depth FROM nation WHERE n_regionkey = 1
         UNION ALL SELECT 'c' || c_custkey, 2, 2, c_name, c_custkey % 5 IN (1, 3), CASE WHEN c_custkey % 4 <> 3 THEN 1 WHEN c_custkey % 3 = 1 THEN 3 ELSE 2 END FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1)
       SELECT row_number() OVER (ORDER BY hop, tier DESC, same_repo DESC, depth DESC, symbol, node) AS place, node, same_repo, depth FROM p QUALIFY place <= 200"""),
+    "call_audit": (call_audit, """WITH p AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS target FROM lineitem), k AS (SELECT site, count(*) AS k FROM p GROUP BY site),
+      o AS (SELECT k, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM k), s AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 3) > 1)
+      SELECT 'sites' AS measure, count(*) AS n FROM k UNION ALL SELECT 'edges', count(*) FROM p UNION ALL SELECT 'max', max(k) FROM k
+      UNION ALL SELECT '1', count(*) FROM k WHERE k = 1 UNION ALL SELECT '2-4', count(*) FROM k WHERE k BETWEEN 2 AND 4 UNION ALL SELECT '5-16', count(*) FROM k WHERE k BETWEEN 5 AND 16
+      UNION ALL SELECT '17-64', count(*) FROM k WHERE k BETWEEN 17 AND 64 UNION ALL SELECT '65+', count(*) FROM k WHERE k > 64
+      UNION ALL SELECT 'definitions', count(DISTINCT target) FROM p UNION ALL SELECT 'p50', min(k) FROM o WHERE r >= ceil(n * 50 / 100) UNION ALL SELECT 'p95', min(k) FROM o WHERE r >= ceil(n * 95 / 100)
+      UNION ALL SELECT 'several_repos', count(*) FROM s UNION ALL SELECT 'covered', count(*) FROM k WHERE site % 4 = 0"""),
+    "name_sweep": (name_sweep, r"WITH n AS (SELECT DISTINCT string_split(coalesce(text, ''), ' ')[1] AS name FROM documents), g AS (SELECT regexp_matches(name, '^\p{Lu}') AND strlen(name) >= 3 AS ok FROM n) SELECT count(*) AS names, count(*) FILTER (ok) AS generated, count(*) FILTER (NOT ok) AS excluded FROM g"),
+    "cross_shard": (cross_shard, "WITH d AS (SELECT s_suppkey % 150 AS name, s_nationkey % 3 AS shard FROM supplier), u AS (SELECT DISTINCT c_custkey % 200 AS name, c_nationkey % 3 AS shard FROM customer) SELECT DISTINCT name FROM u WHERE (SELECT count(DISTINCT shard) FROM d WHERE d.name = u.name) > 1 OR NOT EXISTS (SELECT 1 FROM d WHERE d.name = u.name AND d.shard = u.shard)"),
     "name_join": (name_join, "SELECT c_custkey AS site, -s_suppkey AS target, right(c_name, 4) AS name, CASE WHEN c_nationkey = s_nationkey THEN 2 ELSE 1 END AS tier FROM customer JOIN supplier ON right(c_name, 4) = right(s_name, 4) WHERE c_custkey <> -s_suppkey"),
     "communities": (communities, None),
     "list_repos": (list_repos, "SELECT source AS repo, count(*) AS files FROM documents GROUP BY source"),

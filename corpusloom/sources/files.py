@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from ..operators.corpus import git_blob_sha1, vcs_internal
 
 
+def discover_repos(paths: DataFrame) -> DataFrame:
+    """repo: folders that hold a .git folder or file, from a listing (path). What lies inside .git holds no repository."""
+    inside = paths.filter(F.rlike("path", F.lit(r"(?s)^(.*/)?\.git(/.*)?$")))
+    above = F.regexp_extract("path", r"(?s)^((?:(?!\.git(?:/|$))[^/]*/)*)\.git(?:/.*)?$", 1)
+    return inside.select(F.regexp_replace(above, "(?<=.)/$", "").alias("repo")).distinct()
+
+
 def read_files(spark: SparkSession, root: str, repo: str, tracked: DataFrame | None = None) -> DataFrame:
     """repo, rel_path, abs_path, blob_sha, content of text files below a folder: no NUL bytes, no version-control
-    internals, a byte-order mark taken off. tracked (rel_path, mode): only regular files that it lists."""
+    internals, a byte-order mark taken off. blob_sha is of the bytes as they lie there. tracked (rel_path, mode): only regular files that it lists."""
     data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
     rel = F.substring_index(below, root.split(":", 1)[-1].rstrip("/") + "/", -1)
@@ -22,8 +29,8 @@ def read_files(spark: SparkSession, root: str, repo: str, tracked: DataFrame | N
     if tracked is not None:
         rows = rows.join(tracked.filter(F.col("mode").isin("100644", "100755")).select("rel_path"), "rel_path", "left_semi")
     text = F.decode("content", "UTF-8")
-    rows = rows.select(F.lit(repo).alias("repo"), "rel_path", "abs_path", F.regexp_replace(text, "^﻿", "").alias("content"))
-    return rows.select("repo", "rel_path", "abs_path", git_blob_sha1(F.col("content")).alias("blob_sha"), "content")
+    rows = rows.select(F.lit(repo).alias("repo"), "rel_path", "abs_path", git_blob_sha1(F.col("content")).alias("blob_sha"), F.regexp_replace(text, "^﻿", "").alias("content"))
+    return rows
 
 
 class Snapshots:
