@@ -300,7 +300,7 @@ QUERIES = {
     "span_merge": (span_merge, _merge_sql(1, "")),
     "block_merge": (block_merge, _merge_sql(2, ", max(score) AS score, arg_max(line, (score, -start)) AS line")),
     "chunk_windows": (chunk_windows, f"WITH {_LINES}, n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id), w AS (SELECT doc_id, n, unnest(range(1, n + 1, 7)) AS s FROM n) SELECT doc_id, s AS start_line, least(s + 9, n) AS end_line FROM w WHERE s = 1 OR s + 2 < n"),
-    "import_dominance": (import_dominance, None),
+    "import_dominance": (import_dominance, f"WITH {_LINES}, c AS (SELECT doc_id, max(line) AS \"end\", count(*) FILTER (trim(line_text) <> '') AS nonblank, count(*) FILTER (regexp_matches(line_text, '^\\s*(import\\b|using\\s+[\\w.=\\s]+;|from\\s+\\S+\\s+import\\b|#include\\b|require\\s*\\(|package\\b)')) AS imports FROM lines WHERE line <= 5 GROUP BY doc_id) SELECT doc_id, \"end\", nonblank, imports, imports * 10 > nonblank * 7 AS dominated FROM c"),
     "block_pack": (block_pack, """WITH RECURSIVE b AS (SELECT source, doc_id, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY ceil(strlen(coalesce(text, '')) / 4) DESC, doc_id) AS rank FROM documents),
       p AS (SELECT source, rank, doc_id, least(tokens, 4000) AS used, true AS fits, least(tokens, 4000) AS packed_tokens FROM b WHERE rank = 1
         UNION ALL SELECT b.source, b.rank, b.doc_id, CASE WHEN p.used + tokens <= 4000 THEN p.used + tokens ELSE p.used END, p.used + tokens <= 4000, tokens FROM p JOIN b ON b.source = p.source AND b.rank = p.rank + 1)
