@@ -15,7 +15,8 @@ its least doc_id, so groups of copies cost one row. The classes are joined as fo
    groups, each following the least class that passes the filters with it.
 4. Groups, not classes, then meet at the shingles of many: filters are applied to a group's bounds (its sizes, its first
    position, its leader's signature less the members' greatest distance from it), so no pair of classes that passes the
-   filters is lost. Shingles with many groups are dealt into salted blocks of which each two meet in one task.
+   filters is lost. Shingles with many groups are dealt into salted blocks of which each two meet in one task. Where over
+   DENSE pairs a group pass, no pairs of groups are made: the groups that they connect become one group.
 5. A group's sets are packed into blocks: a core, and each member's difference from it. Each two blocks of a group, and
    of two groups that met, are compared in one worker, which verifies every pair of their classes once, on the whole
    sets, counts each class's links and gives one row a class that has any. Pairs themselves are never rows.
@@ -52,8 +53,8 @@ SALTED, SHARE = 512, 4096
 #: Rows of a shingle whose pairs are all tested at once; leaders that those of others are tried on before they stay alone;
 #: rows carried from one Arrow batch to the next.
 FEW, LEADERS, CARRY = 4, 8, 1 << 17
-#: Groups of a shingle that meet in one task.
-RUN = 2048
+#: Groups of a shingle that meet in one task; pairs a group, with more of which groups become one.
+RUN, DENSE = 2048, 8
 #: Classes of a block, and bytes of their sets, about; columns of the products that compare two blocks.
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 2048
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -302,48 +303,67 @@ def groups(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
+def _joined(to: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """to: of each place the least one that it is connected with; what it is when x and y are connected too."""
+    while True:
+        a, b = to[x], to[y]
+        apart = a != b
+        if not apart.any():
+            return to
+        np.minimum.at(to, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (to != to[to]).any():
+            to = to[to]
+
+
 def crossed(met: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs of groups (a < b) that meet at a shingle of many and may hold two classes that pass the filters."""
-    rows = met.join(members.select("doc_id", "center", F.col("apart").alias("radius"), "c1", "c2").distinct(), "doc_id").withColumns({"c1": F.coalesce("c1", "s1"), "c2": F.coalesce("c2", "s2")})
-    # a center's signature is one value, but for ids with several texts: their least and greatest are both kept apart
-    by = rows.groupBy("shingle", "center", "c1", "c2").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("at"), F.max("radius").alias("radius"))
+    """Groups a and b that meet at a shingle of many and may hold two classes that pass the filters: all such pairs (one
+    false) where there are at most DENSE a group, else a forest of them (one true), of fewer rows than come to the task."""
+    rows = met.join(members.select("doc_id", "center", "apart", "far", F.coalesce("c", "sig").alias("sig")).distinct(), "doc_id")
+    # a center's signature is one value, but for ids with several texts: all of theirs are kept apart
+    by = rows.groupBy("shingle", "center", "sig").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("at"), F.max("apart").alias("apart"), F.max("far").alias("far"))
     by = materialise(by, "met")
     per = by.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("blocks"), F.min("center").alias("x"), F.max("center").alias("y")).filter("x < y").drop("x", "y")
     dealt = by.join(per, "shingle").withColumn("own", F.pmod(F.xxhash64("center"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("shingle", F.least("own", "to").alias("one"), F.greatest("own", "to").alias("two"), "own", "center", "c1", "c2", "low", "high", "at", "radius")
+    dealt = dealt.select("shingle", F.least("own", "to").alias("one"), F.greatest("own", "to").alias("two"), "own", "blocks", "center", "sig", "low", "high", "at", "apart", "far")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_runs(batches, ["shingle", "one", "two"]):
-            key, one, two, own, ids, low, high, at, radius = (pdf[c].to_numpy(np.int64) for c in ("shingle", "one", "two", "own", "center", "low", "high", "at", "radius"))
-            sig = unpacked(pdf["c1"].to_numpy(), pdf["c2"].to_numpy())
+            key, one, two, own, blocks, ids, low, high, at, apart, far = (pdf[c].to_numpy(np.int64) for c in ("shingle", "one", "two", "own", "blocks", "center", "low", "high", "at", "apart", "far"))
+            large = _bytes(pdf["sig"])
+            small = unpacked(*folded(large).T)
             ends = _ends(key, one, two)
-            end = np.repeat(ends[1:], np.diff(ends))
-            i, step, found = np.arange(len(pdf)), 1, []
+            size, most_pairs = np.diff(ends), DENSE * np.diff(ends) // blocks[ends[:-1]]  # a group is in so many tasks
+            end, run_of, to = np.repeat(ends[1:], size), np.repeat(np.arange(len(size)), size), np.arange(len(pdf))
+            count, dense = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+            i, step, found = np.arange(len(pdf)), 1, [np.zeros((2, 0), np.int64)]
             while len(i := i[i + step < end[i]]):  # each row with the next, the one after it, and so on
                 j = i + step
                 most = spare(high[i] + high[j], threshold)
                 ok = (100 * np.minimum(high[i], high[j]) >= threshold * np.maximum(low[i], low[j])) & (at[i] + at[j] <= most) & (ids[i] != ids[j])
                 ok &= (one[i] == two[i]) | (own[i] != own[j])
-                x, y = i[ok], j[ok]
-                ok = distance(sig[x], sig[y]) <= most[ok] + radius[x] + radius[y]
-                found.append(np.stack([ids[x[ok]], ids[y[ok]]], axis=1))
+                ok &= ~dense[run_of[i]] | (to[i] != to[j])
+                x, y, most = i[ok], j[ok], most[ok]
+                for sig, radius in ((small, apart), (large, far)):
+                    ok = distance(sig[x], sig[y]) <= most + radius[x] + radius[y]
+                    x, y, most = x[ok], y[ok], most[ok]
+                count += np.bincount(run_of[x], minlength=len(size))
+                dense = count > most_pairs
+                ok = dense[run_of[x]]
+                to = _joined(to, x[ok], y[ok])
+                found.append(np.stack([x[~ok], y[~ok]]))
                 step += 1
-            pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            x, y = np.concatenate(found, axis=1)
+            ok = dense[run_of[x]]
+            to = _joined(to, x[ok], y[ok])
+            few, tree = np.stack([ids[x[~ok]], ids[y[~ok]]]), np.stack([ids[to], ids])
+            for pairs, whole in ((few, False), (tree[:, tree[0] != tree[1]], True)):
+                pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+                yield pd.DataFrame({"a": pairs[0], "b": pairs[1], "one": whole})
 
     dealt = dealt.repartition(partitions(met.sparkSession), "shingle", "one", "two").sortWithinPartitions("shingle", "one", "two")
-    out = materialise(dealt.mapInPandas(run, "a long, b long").distinct(), "crossed")
+    out = materialise(dealt.mapInPandas(run, "a long, b long, one boolean").distinct(), "crossed")
     drop_table(by)
-
-    def once_more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = distance(_bytes(pdf["x"]), _bytes(pdf["y"])) <= spare(pdf["m"] + pdf["n"], threshold) + pdf["far"] + pdf["near"]
-            yield pdf.loc[ok, ["a", "b"]]
-
-    own = members.groupBy("center", F.coalesce("c", "sig").alias("sig")).agg(F.max("n").alias("n"), F.max("far").alias("far"))
-    side = lambda i, n, sig, far: own.select(F.col("center").alias(i), F.col("n").alias(n), F.col("sig").alias(sig), F.col("far").alias(far))
-    return out.join(side("a", "m", "x", "far"), "a").join(side("b", "n", "y", "near"), "b").mapInPandas(once_more, "a long, b long")
+    return out
 
 
 PACKED = "center long, block int, ids binary, sizes binary, core binary, many binary, apart binary"
@@ -480,8 +500,14 @@ def jaccard_links(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, D
     members = groups(edges, classes)
     of = lambda c, i: members.select(F.col("doc_id").alias(i), F.col("center").alias(c)).distinct()
     direct = edges.select("doc_id", "other").join(of("p", "doc_id"), "doc_id").join(of("q", "other"), "other").filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    pairs = materialise(direct.unionByName(crossed(got.filter("kind = 1").select("shingle", "n", "doc_id", "at", "s1", "s2"), members, threshold)).distinct(), "pairs")
-    drop_table(got)
+    met = crossed(got.filter("kind = 1").select("shingle", "n", "doc_id", "at"), members, threshold)
+    whole = components(met.filter("one").select("a", "b"))
+    top = lambda df, c: df.join(whole.select(F.col("node").alias(c), F.col("component").alias("top")), c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
+    pairs = top(top(direct.unionByName(met.filter("NOT one").select("a", "b")), "a"), "b").filter("a <> b")
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    alone, members = members, materialise(top(members.select("doc_id", "n", "center"), "center"), "whole groups")
+    for t in (got, met, whole, alone):
+        drop_table(t)
     sizes = members.groupBy("center").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("center")).distinct().withColumn("cross", F.lit(1))
     places = sizes.join(wanted, "center", "left").filter("m > 1 OR cross = 1").select("center", "blocks")

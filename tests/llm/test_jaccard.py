@@ -90,6 +90,23 @@ def test_five_hundred_near_copies(spark, monkeypatch):
     assert max(n for _, n in made) < 40 * 500
 
 
+@pytest.mark.parametrize("limits", [{}, {"RUN": 64, "BLOCK": 32}])
+def test_groups_that_all_meet_make_few_rows(spark, monkeypatch, limits):
+    """Where each group may link with each other, they become one: not a row for each two of them."""
+    made, crossed = [], jaccard_join.crossed
+    monkeypatch.setattr(jaccard_join, "crossed", lambda *a: made.append(crossed(*a)) or made[-1])
+    monkeypatch.setattr(jaccard_join, "drop_table", lambda df: None)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 0)  # so that every class is a group of its own
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(14)
+    base, other = [f"w{i}" for i in range(150)], [f"v{i}" for i in range(150)]
+    rows = [(i, edited(rng, base, i, 1 + i % 2)) for i in range(240)] + [(1000 + i, edited(rng, other, i, 3)) for i in range(40)]
+    degree = same_as_brute(spark, rows, 3, 90)
+    assert sum(degree.values()) > 10_000
+    assert 0 < made[0].count() < 12 * len(rows)
+
+
 def test_common_shingle_whose_pairs_fail(spark):
     """Documents that share one passage and are else different: they meet, and verification tells them apart."""
     rng = random.Random(12)
