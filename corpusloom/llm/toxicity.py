@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,10 +42,14 @@ SAMPLE, POSTINGS, BLOCK, NEIGHBOURS = 2400, 800_000, 32, 15
 FAINT, TELLING = 0.01, 28.4
 #: Blocks that are looked into first; each further round takes twice as many.
 FIRST_BLOCKS = 8
+#: Fixed: of ASCII letters and digits lower-cased, of the others a space.
+_ASCII = "".join(chr(i).lower() if chr(i).isalnum() else " " for i in range(128))
 
 
 def tokens(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
 
 
 def relevance(df: np.ndarray, positive: np.ndarray, total: int, toxic: int) -> np.ndarray:
@@ -80,11 +85,21 @@ class Index:
         """Terms of a text, ascending, and their weights, of length 1 together."""
         terms = self.terms
         found = sorted([(terms[w], c) for w, c in counts.items() if w in terms])
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, n = np.array(found, np.int64).T
+        at, n = np.array(found, np.int64).reshape(-1, 2).T
+        return at, self.weights(at, n)
+
+    def weights(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         weight = (1 + np.log(n)) * self.scale[at]
-        return at, weight / np.sqrt((weight**2).sum())
+        return weight / np.sqrt((weight**2).sum())
+
+    def tally(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text, ascending, and how often it has each."""
+        words = tokens(text)
+        found = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
+        found = found[found >= 0]
+        found.sort()
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        return found[first], np.diff(first, append=len(found))
 
     def build(self, texts: list[Counter], ids: np.ndarray, toxic: np.ndarray) -> Index:
         vectors = [self.vector(c) for c in texts]
@@ -110,8 +125,8 @@ class Index:
         """Cosine and place of the k nearest examples with cosine over 0; ties by id."""
         begin, end = self.first[at], self.first[at + 1]
         runs, own = _ranges(begin, end), np.repeat(weight, end - begin)
-        block = self.block[runs]
-        bounds = np.bincount(block, own * self.top[runs])
+        block = self.block.take(runs)
+        bounds = np.bincount(block, own * self.top.take(runs))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         best: list[tuple[float, int, int]] = []
@@ -120,11 +135,11 @@ class Index:
             some, order, size = order[:size], order[size:], 2 * size
             chosen = np.zeros(len(bounds), bool)
             chosen[some] = True
-            now = chosen[block]
-            r = runs[now]
-            n = self.at[r + 1] - self.at[r]
-            postings = _ranges(self.at[r], self.at[r + 1])
-            scores = np.round(np.bincount(self.place[postings], np.repeat(own[now], n) * self.weight[postings]), 9)
+            now = np.flatnonzero(chosen.take(block))
+            r = runs.take(now)
+            start, stop = self.at.take(r), self.at.take(r + 1)
+            postings = _ranges(start, stop)
+            scores = np.round(np.bincount(self.place.take(postings), np.repeat(own.take(now), stop - start) * self.weight.take(postings)), 9)
             floor = -best[-1][0] if len(best) == k else 0.0
             i = np.flatnonzero((scores > 0) & (scores >= floor))
             i = i[np.lexsort((self.ids[i], -scores[i]))[:k]]
@@ -141,8 +156,7 @@ class Model:
     without: float  # probability of texts that share no word with an example
     memory: dict = field(default_factory=dict)
 
-    def features(self, counts: Counter | dict, but: int | None = None) -> tuple[np.ndarray, list[tuple[float, int]]] | None:
-        at, weight = self.index.vector(counts)
+    def features(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[float, int]]] | None:
         near = self.index.nearest(at, weight) if len(at) and len(self.index.ids) else []
         if not near:
             return None
@@ -151,17 +165,16 @@ class Model:
         return np.array([1.0, 6 * (share - 0.5), near[0][0]]), near
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        terms = self.index.terms
-        counts = Counter([w for w in tokens(text) if w in terms])
-        key = hash(frozenset(counts.items()))
-        if key not in self.memory or self.memory[key][0] != counts:  # copies are looked up once, while few others come between
-            found = self.features(counts)
+        at, n = self.index.tally(text)
+        key = at.tobytes() + n.tobytes()
+        if key not in self.memory:  # copies are looked up once, while few others come between
+            found = self.features(at, self.index.weights(at, n))
             p = self.without if found is None else float(1 / (1 + np.exp(-np.clip(found[0] @ self.curve, -30, 30))))
             evidence = [] if found is None else [{"doc_id": int(self.index.ids[i]), "cosine": s, "toxic": int(self.index.toxic[i])} for s, i in found[1][:3]]
             if len(self.memory) >= 500:
                 self.memory.clear()
-            self.memory[key] = (counts, p, evidence)
-        return self.memory[key][1:]
+            self.memory[key] = (p, evidence)
+        return self.memory[key]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -219,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     model.index.build([b for b, h in zip(bags, held, strict=True) if not h], ids[~held], toxic[~held])
     del own, have, toxic_have
     real = np.where(toxic == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))  # rows that a sampled one stands for
-    found = {int(i): f[0] for i in np.flatnonzero(held) if (f := model.features(bags[i]))}
+    found = {int(i): f[0] for i in np.flatnonzero(held) if (f := model.features(*model.index.vector(bags[i])))}
     rest = [int(i) for i in np.flatnonzero(held) if int(i) not in found]
     if found:
         at = list(found)
@@ -234,11 +247,15 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = shared.value
-        n, df = 0, np.zeros(len(terms), np.int64)
+        n, df = 0, np.zeros(len(terms) + 1, np.int64)  # the last: of all other words
         for pdf in batches:
             n += len(pdf)
-            for t in pdf["text"]:
-                df[[terms[w] for w in set(tokens(t)) if w in terms]] += 1
+            for some in range(0, len(pdf), 100):
+                had = []
+                for t in pdf["text"].iloc[some : some + 100]:
+                    had += set(map(terms.get, tokens(t), repeat(len(terms))))
+                df += np.bincount(np.array(had, np.int64), minlength=len(df))
+        df = df[:-1]
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": [-1, *at], "n": [n, *df[at]]})
 
