@@ -7,27 +7,132 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, quantised
+from ..sources.shared import materialise
 
 TOP_K, THRESHOLD = 5, 0.60
 TABLES, BITS = 8, 8
 #: Vectors up to which the reference compares all pairs.
 EXACT_LIMIT = 4096
-#: Vectors of a block; a pair of blocks is one matrix product.
+#: Vectors of a block of buckets; a pair of blocks is one matrix product.
 BLOCK = 2048
+#: All pairs: vectors of a block at most, blocks that are sought where they would be larger than LEAST, rows of one product.
+MOST, SOUGHT, LEAST, ROWS = 16384, 24, 1024, 1024
 
 
 def similar(vectors: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, other_id, cosine: each vector's k most alike at or over the threshold, exactly.
 
-    Vectors are dealt into blocks; every pair of blocks meets once as two packed rows, whose product is taken in one
-    Arrow worker, so no pair of vectors is ever a row but the k best of a block. n^2 products, in blocks, are what
-    exactness costs; similar_lsh is the way beyond.
+    Vectors are dealt into blocks of one packed row each, written once. Every block meets every block by a product of the
+    written rows, which shuffles nothing; pairs of blocks are products in single precision, whose bounded error is allowed
+    for, and the few pairs of vectors that may be among the k best are taken again in double precision. n^2 products are
+    what exactness costs; similar_lsh is the way beyond.
     """
-    n = max(1, -(-vectors.count() // BLOCK))
-    packed = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("vs"))
-    left = packed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = left.join(packed.select(F.col("block").alias("to"), F.col("vs").alias("ws")), "to")
-    return _best(_products(met, k, threshold), k)
+    whole = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    n = whole.count()
+    blocks = max(1, -(-n // MOST), min(SOUGHT, -(-n // LEAST)))
+    packed = materialise(whole.repartition(blocks).mapInArrow(_packer(), "ids binary, vs binary"), "vectors")
+    other = packed.select(F.col("ids").alias("other_ids"), F.col("vs").alias("ws"))
+    met = packed.join(other.hint("shuffle_replicate_nl"))
+    return _best(met.mapInArrow(searcher(k, threshold), "vec_id long, other_id long, cosine double"), k)
+
+
+def _packer():
+    """Workers get the functions by value and need not have this package."""
+
+    def pack(batches):
+        """The vectors of a partition as rows (ids, vs) of up to MOST vectors."""
+        import pyarrow as pa
+
+        def row(ids, vs):
+            return pa.RecordBatch.from_pydict({"ids": [np.concatenate(ids).tobytes()], "vs": [np.concatenate(vs).tobytes()]}, pa.schema([("ids", pa.binary()), ("vs", pa.binary())]))
+
+        ids, vs, n, dims = [], [], 0, None
+        for batch in batches:
+            for at in range(0, len(batch), MOST):
+                part = batch.slice(at, MOST)
+                flat, lengths = part.column(1).flatten(), np.unique(part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                if flat.null_count or len(lengths) != 1 or dims not in (None, lengths[0]):
+                    raise ValueError("vectors differ in length or have null elements")
+                dims = lengths[0]
+                if n + len(part) > MOST:
+                    yield row(ids, vs)
+                    ids, vs, n = [], [], 0
+                ids.append(part.column(0).to_numpy(zero_copy_only=False))
+                vs.append(flat.to_numpy(zero_copy_only=False))
+                n += len(part)
+        if n:
+            yield row(ids, vs)
+
+    return pack
+
+
+def searcher(k: int, threshold: float):
+    """A function over Arrow batches of (ids, vs, other_ids, ws), blocks that meet. As _packer(), by value."""
+
+    def first(ids: np.ndarray, others: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first k rows of each id by cosine, then the lower other id."""
+        order = np.lexsort((others, -cosines, ids))
+        ids, others, cosines = ids[order], others[order], cosines[order]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
+        place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
+        return ids[place < k], others[place < k], cosines[place < k]
+
+    def nearest(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, others, cosines: for each row of a the k rows of b most alike at or over the threshold, but for rows of its own id.
+
+        The k-th largest of the maxima of disjoint parts of a row is at most its k-th largest; whatever is less by more than
+        the error of single precision and of rounding is none of the k best.
+        """
+        b32 = b.astype(np.float32)
+        longest = float(np.sqrt(np.einsum("ij,ij->i", a, a).max() * np.einsum("ij,ij->i", b, b).max()))
+        if not longest < 1e30:
+            raise ValueError("vectors are too long, or not numbers")
+        slack = 1e-6 + 4 * (a.shape[1] + 2) * 2.0**-24 * longest
+        twins = np.isin(ia, ib)
+        width = max(1, len(ib) // (8 * k))
+        parts = np.arange(0, len(ib), width)
+        out = [], [], []
+        for at in range(0, len(ia), ROWS):
+            own = ia[at : at + ROWS]
+            s = a[at : at + ROWS].astype(np.float32) @ b32.T
+            for i in np.flatnonzero(twins[at : at + ROWS]):
+                s[i, ib == own[i]] = -np.inf
+            cut = np.full(len(own), threshold - slack)
+            if len(parts) > k:
+                most = np.stack([s[:, p : p + width].max(axis=1) for p in parts], axis=1)
+                cut = np.maximum(cut, np.partition(most, len(parts) - k, axis=1)[:, len(parts) - k].astype(np.float64) - 2 * slack)
+            r, c = np.divmod(np.flatnonzero(s >= np.nextafter(cut.astype(np.float32), np.float32(-np.inf))[:, None]), len(ib))
+            exact = np.empty(len(r))
+            for p in range(0, len(r), 1 << 16):  # the rows of so many pairs at a time
+                exact[p : p + (1 << 16)] = np.einsum("ij,ij->i", a[at + r[p : p + (1 << 16)]], b[c[p : p + (1 << 16)]])
+            exact = np.round(exact, 6)
+            keep = (exact >= threshold) & (own[r] != ib[c])
+            for x, y in zip(out, first(own[r[keep]], ib[c[keep]], exact[keep]), strict=True):
+                x.append(y)
+        return tuple(map(np.concatenate, out))
+
+    def of(batches):
+        import pyarrow as pa
+
+        def row(best):
+            return pa.RecordBatch.from_arrays([pa.array(best[0], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], ["vec_id", "other_id", "cosine"])
+
+        held, best = None, None  # neighbouring rows of one block have one result
+        for batch in batches:
+            for ids, vs, other, ws in zip(*batch.columns, strict=True):
+                ia, ib = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, other))
+                a, b = (np.frombuffer(x.as_buffer(), np.float64).reshape(len(i), -1) for x, i in ((vs, ia), (ws, ib)))
+                found = nearest(ia, a, ib, b)
+                if held == (key := ids.as_py()):
+                    best = first(*(np.concatenate(x) for x in zip(best, found, strict=True)))
+                    continue
+                if best:
+                    yield row(best)
+                held, best = key, found
+        if best:
+            yield row(best)
+
+    return of
 
 
 def _products(met: DataFrame, k: int, threshold: float, both: bool = False) -> DataFrame:

@@ -178,6 +178,24 @@ def test_vectors(spark):
     assert {(r.vec_id, r.other_id) for r in vectors.similar_lsh(df, 64).collect()} <= want
 
 
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    """Blocks of three sizes, ties, copies and null vectors against all pairs; what meets is shuffled by no key."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 8)).astype(np.float32)
+    v[30:50] = v[3]
+    v[50:60] = 2 * v[4]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame([*rows, (200, None), (None, rows[0][1])], "vec_id long, embedding array<float>")
+    s = np.round(v.astype(np.float64) @ v.T.astype(np.float64), 6)
+    want = {(i, int(j), s[i, j]) for i in range(90) for j in [j for j in np.lexsort((np.arange(90), -s[i])) if j != i and s[i, j] >= 0.3][:3]}
+    for least, most in ((1024, 16384), (10, 16384), (10, 7)):
+        monkeypatch.setattr(vectors, "LEAST", least)
+        monkeypatch.setattr(vectors, "MOST", most)
+        got = vectors.similar(df, 3, 0.3)
+        assert {(r.vec_id, r.other_id, r.cosine) for r in got.collect()} == want
+        assert "collect_list" not in (plan := got._jdf.queryExecution().toString()) and "CartesianProduct" in plan
+
+
 def test_lsh_recall(spark):
     """At least 0.9 of similar()'s pairs just over the threshold, by buckets; all of them up to the exact limit."""
     rng = np.random.default_rng(2)
