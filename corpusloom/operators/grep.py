@@ -7,6 +7,8 @@ places of matches are shuffled, never texts, so a text that several files have i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +73,36 @@ def line_of(content: Column, at: Column) -> Column:
     return F.length(left) - F.length(F.replace(left, F.lit("\n"), F.lit(""))) + 1
 
 
-def gram_postings(blobs: DataFrame, wanted: list[str]) -> DataFrame:
-    """blob_sha, gram, at (byte offset) of the wanted 3-byte grams alone (hex)."""
-    data = F.hex(F.col("content").cast("binary"))
-    rows = blobs.select("blob_sha", data.alias("h"), F.explode(F.array(*[F.lit(g.upper()) for g in wanted])).alias("gram"))
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("h") - 5), F.lit(2)), lambda i: F.substring(F.col("h"), i, F.lit(6)) == F.col("gram"))
-    return rows.filter(F.contains("h", F.col("gram"))).select("blob_sha", "gram", F.explode(spots).alias("p")).select("blob_sha", "gram", ((F.col("p") - 1) / 2).cast("long").alias("at"))
+def _byte_text(content: Column) -> Column:
+    """A character for each byte, so that places and lengths are those of bytes."""
+    return F.decode(content.cast("binary"), "ISO-8859-1")
+
+
+def gram_postings(blobs: DataFrame, wanted: list[str], all_of: bool = False) -> DataFrame:
+    """blob_sha, gram, at (byte offset) of the wanted 3-byte grams alone (hex); all_of: of blobs that have each of them.
+
+    Contents are cut at the grams where they are read, in one pass a gram; lengths of pieces alone are shuffled. A blob may
+    have several rows.
+    """
+    texts = {g.upper(): bytes.fromhex(g).decode("latin-1") for g in wanted}
+    has = [F.contains("bytes", F.lit(t)) for t in texts.values()]
+    rows = blobs.select("blob_sha", _byte_text(F.col("content")).alias("bytes")).filter(reduce((lambda a, b: a & b) if all_of else (lambda a, b: a | b), has))
+    cuts = [F.struct(F.lit(g).alias("gram"), F.startswith("bytes", F.lit(t)).alias("at_start"), F.transform(F.split("bytes", _ahead(t)), lambda x: F.length(x)).alias("ns")) for g, t in texts.items()]
+    rows = rows.select("blob_sha", F.explode(F.array(*cuts)).alias("c")).groupBy("blob_sha", "c.gram").agg(F.min(F.struct("c.at_start", "c.ns")).alias("c"))
+    rows = rows.select("blob_sha", "gram", "c.at_start", F.posexplode("c.ns").alias("i", "n"))
+    before = F.sum("n").over(Window.partitionBy("blob_sha", "gram").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("at", F.coalesce(before, F.lit(0)))
+    return rows.filter("i > 0 OR at_start").select("blob_sha", "gram", F.col("at").cast("long").alias("at"))
 
 
 def positional(blobs: DataFrame, text: str) -> DataFrame:
-    """Candidate places of a literal: its first and last gram at the right distance, by an equi-join on (blob, offset)."""
+    """Candidate places of a literal: its first and last gram at the right distance, by an equi-join on (blob, offset).
+
+    blobs: blob_sha, content; files do as well, a blob that several have counts once.
+    """
     data = text.encode()
     first, last, gap = data[:3].hex().upper(), data[-3:].hex().upper(), len(data) - 3
-    posts = gram_postings(blobs, sorted({first, last}))
+    posts = gram_postings(blobs, sorted({first, last}), all_of=True)
     begin = posts.filter(F.col("gram") == first).select("blob_sha", "at")
     end = posts.filter(F.col("gram") == last).select("blob_sha", (F.col("at") - gap).alias("at"))
     return begin.join(end, ["blob_sha", "at"])

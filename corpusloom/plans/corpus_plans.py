@@ -112,7 +112,7 @@ def line_of_offset(spark, d):
 
 
 def positional_join(spark, d):
-    return grep.positional(corpus.blobs_of(_files(spark, d)), "Apache License")
+    return grep.positional(_files(spark, d), "Apache License")
 
 
 def gram_policy(spark, d):

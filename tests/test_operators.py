@@ -43,6 +43,19 @@ def test_positional_and_occurrences(spark):
     assert sorted((r.rel_path, r.at) for r in grep.occurrences(fs, "abcab", "rel_path").collect()) == [("a", 0), ("a", 3), ("b", 1)]
 
 
+def test_positional_in_bytes(spark):
+    """Byte places in one pass, also of grams that cut a character; a blob of two files counts once, no content is shuffled."""
+    texts = ["aaaaa é aaaaa", "éé😀é😀éé", "x" * 50_000 + "aaaa", "", "aab"]
+    fs = files(spark, *[(r, str(i), f"{i}", t) for i, t in enumerate(texts) for r in "rs"])
+    for text in ("aaaa", "aaa", "é😀é", "aé"):
+        data = text.encode()
+        want = sorted((str(i), at) for i, t in enumerate(map(str.encode, texts)) for at in range(len(t) - len(data) + 1) if t[at : at + 3] == data[:3] and t[at + len(data) - 3 : at + len(data)] == data[-3:])
+        got = grep.positional(fs, text)
+        assert sorted((r.blob_sha, r.at) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "content" in line]
+
+
 TOKENS = {
     "ReIssueCertificate": {"re", "reissue", "reissuecertificate", "issue", "issuecertificate", "certificate"},
     "HTTPServer": {"http", "httpserver", "server"},
