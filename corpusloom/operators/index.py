@@ -1,8 +1,9 @@
 """A kept index: gram postings for search, token postings for ranking, written once and read by key.
 
-Tables are written in ranges of gram or term and sorted, so that the keys of a query, pushed to the Parquet scan, leave
-out the files and row groups without them. Ranges go by (key, blob or document), so a common key is no single task.
-Grams are three bytes, in hex. An index without a path lies in the shared folder.
+Token postings are written in ranges of term and document and sorted, so that the terms of a query, pushed to the Parquet
+scan, leave out the files and row groups without them. Gram postings are lists by segment, a few megabytes of texts that one
+task reads: each task writes its segments sorted by gram, so no pair of gram and blob is shuffled, and the grams of a query
+leave out the pages without them. Grams are three bytes, in hex. An index without a path lies in the shared folder.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from . import grep, rank
 
 @dataclass(frozen=True)
 class GramIndex:
-    """counts: gram, df, kept (all grams of the corpus); postings: gram, blob_sha (of kept grams)."""
+    """counts: gram, df, kept (all grams of the corpus); postings: gram, segment, blobs (of kept grams; places in the segment's
+    names); names: segment, names (blob_sha)."""
 
     counts: DataFrame
     postings: DataFrame
+    names: DataFrame
 
 
 @dataclass(frozen=True)
@@ -49,21 +52,83 @@ def blob_grams(content: Column) -> Column:
 
 def gram_counts(pairs: DataFrame, n_blobs: int, fraction: float) -> DataFrame:
     """gram, df, kept: a gram is kept if at most that fraction (of 0 to 1) of the blobs have it. pairs: gram, blob_sha."""
+    return _policy(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), n_blobs, fraction)
+
+
+def _policy(df: DataFrame, n_blobs: int, fraction: float) -> DataFrame:
     most = min(1.0, max(0.0, fraction)) * n_blobs
-    return pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("kept", F.col("df") <= F.lit(most))
+    return df.withColumn("kept", F.col("df") <= F.lit(most))
+
+
+#: Bytes of a segment, unless one text has more, and its texts, at most.
+SEGMENT_BYTES, SEGMENT_TEXTS = 8 << 20, 1 << 14
+#: Grams left out that are sent to the postings at once: six characters each.
+FEW = 200_000
+
+
+def _segments(most_bytes: int, most_texts: int):
+    """Arrow batches of (blob_sha, content in bytes) as rows (segment, gram, blobs, names): a row a segment and gram, sorted,
+    and one with the names. Workers get the function by value and need not have this package."""
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        digits = np.frombuffer(b"0123456789ABCDEF", np.uint8)
+        columns = pa.schema([("segment", pa.int64()), ("gram", pa.string()), ("blobs", pa.list_(pa.int16())), ("names", pa.list_(pa.string()))])
+        base, names, keys, n_bytes, made = TaskContext.get().partitionId() << 32, [], [], 0, 0
+
+        def rows():
+            segment = base + made
+            found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            grams, blobs = (found >> np.uint64(16)).astype(np.uint32), (found & np.uint64(0xFFFF)).astype(np.int16)
+            starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
+            own = grams[starts]
+            text = digits[np.stack([(own >> shift) & 15 for shift in (20, 16, 12, 8, 4, 0)], axis=1)]
+            gram = pa.StringArray.from_buffers(len(own), pa.py_buffer((np.arange(len(own) + 1) * 6).astype(np.int32).tobytes()), pa.py_buffer(text.tobytes()))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(grams)].astype(np.int32)), pa.array(blobs))
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.nulls(1, pa.string()), pa.nulls(1, columns.field("blobs").type), pa.array([names], columns.field("names").type)], schema=columns)
+            for at in range(0, len(own), 10_000):
+                part = slice(at, min(at + 10_000, len(own)))
+                m = part.stop - at
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, segment)), gram.slice(at, m), lists.slice(at, m), pa.nulls(m, columns.field("names").type)], schema=columns)
+
+        for batch in batches:
+            for sha, content in zip(*batch.columns, strict=True):
+                data = np.frombuffer(content.as_py() or b"", np.uint8)
+                if names and (n_bytes + len(data) > most_bytes or len(names) >= most_texts):
+                    yield from rows()
+                    names, keys, n_bytes, made = [], [], 0, made + 1
+                for at in range(0, len(data) - 2, most_bytes):
+                    piece = data[at : at + most_bytes + 2].astype(np.uint64)
+                    key = piece[:-2] << np.uint64(32) | piece[1:-1] << np.uint64(24) | piece[2:] << np.uint64(16) | np.uint64(len(names))
+                    keys.append(key if len(data) <= most_bytes else np.unique(key))
+                names.append(sha.as_py())
+                n_bytes += len(data)
+        if names:
+            yield from rows()
+
+    return cut
 
 
 def build_grams(blobs: DataFrame, fraction: float = 1.0, path: str | None = None) -> GramIndex:
-    """The gram index of blobs (blob_sha, content). Pairs meet their counts, one row a gram, in a join that AQE can split."""
-    pairs = materialise(blobs.select("blob_sha", F.explode(blob_grams(F.col("content"))).alias("gram")), "pairs")
-    counts = _stored(gram_counts(pairs, blobs.count(), fraction).repartitionByRange("gram").sortWithinPartitions("gram"), path, "gram_counts")
-    kept = counts.filter("kept").select("gram")
-    rows = pairs.join(kept, "gram").select("gram", "blob_sha").repartitionByRange("gram", "blob_sha").sortWithinPartitions("gram", "blob_sha")
-    return GramIndex(counts, _stored(rows, path, "gram_postings"))
+    """The gram index of blobs (blob_sha, content)."""
+    cut = _segments(SEGMENT_BYTES, SEGMENT_TEXTS)
+    rows = materialise(blobs.select("blob_sha", F.col("content").cast("binary")).mapInArrow(cut, "segment long, gram string, blobs array<short>, names array<string>"), "segments")
+    names = _stored(rows.filter("gram IS NULL").select("segment", "names"), path, "gram_names")
+    rows = rows.filter("gram IS NOT NULL").select("gram", "segment", "blobs")
+    n_blobs = names.agg(F.coalesce(F.sum(F.size("names")), F.lit(0))).first()[0]
+    df = rows.groupBy("gram").agg(F.sum(F.size("blobs")).alias("df"))
+    counts = _stored(_policy(df, n_blobs, fraction).repartitionByRange("gram").sortWithinPartitions("gram"), path, "gram_counts")
+    out = counts.filter("NOT kept").select("gram")
+    few = out.limit(FEW + 1).count() <= FEW
+    kept = rows.join(F.broadcast(out) if few else out, "gram", "left_anti").select("gram", "segment", "blobs").sortWithinPartitions("gram", "segment")
+    return GramIndex(counts, _stored(kept, path, "gram_postings"), names)
 
 
 def load_grams(spark: SparkSession, path: str) -> GramIndex:
-    return GramIndex(spark.read.parquet(f"{path}/gram_counts"), spark.read.parquet(f"{path}/gram_postings"))
+    return GramIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("gram_counts", "gram_postings", "gram_names")))
 
 
 def _leaves(need: regexplan.Need) -> set[str]:
@@ -96,8 +161,9 @@ def candidates(index: GramIndex, need: regexplan.Need) -> DataFrame | None:
 
     if met(asked, _absent):
         return None
-    sets = index.postings.filter(F.col("gram").isin([g for g in grams if known.get(g)])).groupBy("blob_sha").agg(F.collect_set("gram").alias("has"))
-    return sets.filter(met(asked, lambda g: F.array_contains("has", g))).select("blob_sha")
+    hits = index.postings.filter(F.col("gram").isin([g for g in grams if known.get(g)])).select("segment", F.explode("blobs").alias("n"), "gram")
+    sets = hits.groupBy("segment", "n").agg(F.collect_set("gram").alias("has")).filter(met(asked, lambda g: F.array_contains("has", g))).select("segment", F.col("n").cast("int"))
+    return index.names.select("segment", F.posexplode("names").alias("n", "blob_sha")).join(sets, ["segment", "n"]).select("blob_sha")
 
 
 def _absent(_: str) -> bool:

@@ -39,6 +39,21 @@ def test_search_equals_scan(spark, files, tmp_path, fraction):
         assert near is None
 
 
+@pytest.mark.parametrize("most", [(8 << 20, 7), (50, 1 << 14), (3, 3)])
+def test_segments(spark, files, monkeypatch, most):
+    """Postings are a list a segment and gram, not a row a gram and blob; texts longer than a segment have all their grams."""
+    monkeypatch.setattr(index, "SEGMENT_BYTES", most[0])
+    monkeypatch.setattr(index, "SEGMENT_TEXTS", most[1])
+    blobs = corpus.blobs_of(files)
+    kept = index.build_grams(blobs)
+    got = kept.postings.selectExpr("gram", "segment", "explode(blobs) AS n").join(kept.names.selectExpr("segment", "posexplode(names) AS (n, blob_sha)"), ["segment", "n"])
+    want = {(r.blob_sha, r.content.encode()[i : i + 3].hex().upper()) for r in blobs.collect() for i in range(len(r.content.encode()) - 2)}
+    assert sorted((r.blob_sha, r.gram) for r in got.collect()) == sorted(want)
+    assert kept.postings.count() == kept.postings.select("gram", "segment").distinct().count()
+    assert {r.gram: r.df for r in kept.counts.collect()} == {g: sum(x == g for _, x in want) for _, g in want}
+    assert sorted(r.content for r in index.search(kept, files, "(Lic|the) ?[a-z]+").join(files, ["doc_id"]).collect()) == sorted(r.content for r in grep.regex(files, "(Lic|the) ?[a-z]+").join(files, ["doc_id"]).collect())
+
+
 def test_grams_of_nothing(spark, files):
     kept = index.build_grams(corpus.blobs_of(files.limit(0)))
     assert kept.counts.count() == 0 and index.search(kept, files.limit(0), "License").count() == 0
