@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_LINES, CHUNK_OVERLAP = 40, 10
+#: Spans of a task, about: AQE puts partitions together by their compressed bytes, so that a task's sort grew with the input.
+TASK_SPANS = 1 << 19
 IMPORT_PENALTY, TEST_PENALTY = 0.4, 0.5
 
 
 def merge_spans(spans: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
-    """Spans (start, end) whose start is at most the end so far plus gap become one: gaps and islands, a sort a key."""
+    """Spans (start, end) whose start is at most the end so far plus gap become one: gaps and islands, a sort a key.
+
+    Spans are counted and dealt by key into as many partitions as they need, so what a task sorts is bounded but for one key's.
+    """
+    spans = spans.repartition(max(1, -(-spans.count() // TASK_SPANS)), *by)
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)

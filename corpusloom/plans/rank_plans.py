@@ -9,6 +9,7 @@ from ..functions.tokens import tokenize
 from ..functions.vector import norm
 from ..operators import context, corpus, evaluation, index, rank, spans, vectors
 from ..session import table
+from ..sources.shared import materialise
 
 #: The query of the ranking plans.
 QUERY = ["licensed", "under", "apache", "version", "the"]
@@ -117,7 +118,8 @@ def reranker_score(spark, d):
 def lexical_spans(spark, d):
     lines = corpus.lines_of(corpus.files_of(table(spark, d, "documents")), "doc_id")
     hits = rank.term_spans(lines, ["licensed", "idiot"])
-    return spans.merge_spans(hits.select("doc_id", F.col("line").cast("long").alias("start"), F.col("line").cast("long").alias("end")), ["doc_id"])
+    hits = materialise(hits.select("doc_id", F.col("line").cast("long").alias("start"), F.col("line").cast("long").alias("end")), "hits")  # counted, then merged
+    return spans.merge_spans(hits, ["doc_id"])
 
 
 def _lineitem_spans(spark, d):

@@ -86,6 +86,15 @@ def test_span_merge(spark):
     assert sorted(tuple(r) for r in spans.merge_spans(df, ["k"], 2).collect()) == [("j", 7, 9), ("k", 1, 9)]
 
 
+def test_span_merge_tasks(spark, monkeypatch):
+    """Spans are dealt by their number, which AQE leaves as it is."""
+    df = spark.range(1000).selectExpr("id % 100 AS k", "id AS start", "id + 50 AS end")
+    want = sorted(tuple(r) for r in spans.merge_spans(df, ["k"], 50).collect())
+    monkeypatch.setattr(spans, "TASK_SPANS", 40)
+    got = spans.merge_spans(df, ["k"], 50)
+    assert got.rdd.getNumPartitions() == 25 and sorted(tuple(r) for r in got.collect()) == want == [(k, k, k + 950) for k in range(100)]
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, 40), (2, 41), (3, 0), (4, 100)], "b long, n long")
     got = [(r.b, r.start_line, r.end_line) for r in spans.chunks(df, F.col("n")).orderBy("b", "start_line").collect()]
