@@ -39,14 +39,22 @@ def deduplicated(edges: DataFrame) -> DataFrame:
 def traverse(edges: DataFrame, roots: DataFrame, hops: int, types: tuple[str, ...] = EDGE_TYPES, floor: int = 2, direction: str = "in") -> DataFrame:
     """node, hop, tier: nodes within some hops of the roots (node). hop is the first level that meets a node; tier the
     best over paths of the weakest edge on a path, among the paths that the levels up to it saw. Roots have hop 0, tier 4.
-    direction: in (who leads here), out, or both."""
+    direction: in (who leads here), out, or both.
+
+    Edges need not be deduplicated: the strongest between two nodes counts, taken by a hash aggregate before the shuffle. A
+    single hop takes the edges at the roots alone.
+    """
     if not 0 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be 0 to {MOST_HOPS}")
     own = edges.filter(F.col("type").isin(*types) & (F.col("tier") >= floor))
     step = {"in": own.select(F.col("dst").alias("here"), F.col("src").alias("to"), "tier"), "out": own.select(F.col("src").alias("here"), F.col("dst").alias("to"), "tier")}
     step = step["in"].unionByName(step["out"]) if direction == "both" else step[direction]
-    step = materialise(step.groupBy("here", "to").agg(F.max("tier").alias("edge_tier")), "steps")  # each hop reads it
-    seen = roots.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(4).alias("tier"))
+    roots = materialise(roots.select("node").distinct(), "roots")  # of known size
+    if hops == 1:
+        step = step.join(roots.select(F.col("node").alias("here")), "here", "left_semi")
+    step = step.groupBy("here", "to").agg(F.max("tier").alias("edge_tier"))
+    step = materialise(step, "steps") if hops > 1 else step  # each hop reads it
+    seen = roots.select("node", F.lit(0).alias("hop"), F.lit(4).alias("tier"))
     front = seen
     for hop in range(1, hops + 1):
         met = front.select("node", "tier").join(step, F.col("node") == F.col("here")).groupBy(F.col("to").alias("node")).agg(F.max(F.least("tier", "edge_tier")).alias("tier")).withColumn("hop", F.lit(hop))

@@ -49,19 +49,19 @@ def edge_upgrade(spark, d):
 
 
 def trace_calls(spark, d):
-    return graph.traverse(_edges(spark, d), _roots(spark, "o1", "o2", "o3"), 2, graph.TRACES["calls"], direction="out")
+    return graph.traverse(_raw_edges(spark, d), _roots(spark, "o1", "o2", "o3"), 2, graph.TRACES["calls"], direction="out")
 
 
 def impact_closure(spark, d):
-    return graph.traverse(_edges(spark, d), _roots(spark, "r1"), 3)
+    return graph.traverse(_raw_edges(spark, d), _roots(spark, "r1"), 3)
 
 
 def trace_consumers(spark, d):
-    return graph.traverse(_edges(spark, d), _roots(spark, "s1", "s2"), 1, graph.TRACES["consumers"])
+    return graph.traverse(_raw_edges(spark, d), _roots(spark, "s1", "s2"), 1, graph.TRACES["consumers"])
 
 
 def graph_neighbors(spark, d):
-    return graph.traverse(_edges(spark, d), _roots(spark, "n3"), 1, direction="both", floor=2)
+    return graph.traverse(_raw_edges(spark, d), _roots(spark, "n3"), 1, direction="both", floor=2)
 
 
 def neighbour_lanes(spark, d):
@@ -93,7 +93,7 @@ def connected_roots(spark, d):
 def result_order(spark, d):
     """Nodes near a region, with customers' and suppliers' segments and names as places, in the order of an answer."""
     edges = _raw_edges(spark, d).filter("type IN ('depends_on', 'imports', 'calls')")
-    near = graph.traverse(graph.deduplicated(edges.filter("evidence <> 'orders'")), _roots(spark, "r1"), 2)
+    near = graph.traverse(edges.filter("evidence <> 'orders'"), _roots(spark, "r1"), 2)
     places = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.concat(F.lit("./a/b/"), F.col("n_nationkey") % 3, F.lit("/x")).alias("path"), F.col("n_name").alias("symbol"), (F.col("n_nationkey") % 2).cast("string").alias("repo"))
     places = places.unionByName(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.concat(F.lit("a/"), F.col("c_custkey") % 4, F.lit("/"), F.col("c_custkey") % 3, F.lit("/x")).alias("path"), F.col("c_name").alias("symbol"), (F.col("c_custkey") % 5).cast("string").alias("repo")))
     nodes = near.join(places, F.col("node") == F.col("key")).select("node", "hop", "tier", "symbol", "repo", "path")

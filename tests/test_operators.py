@@ -172,6 +172,27 @@ def test_graph(spark):
     assert own["a"] == own["b"] == own["c"] != own["x"] == own["y"] == own["z"]
 
 
+def test_traverse_raw_edges(spark):
+    """Edges as they come give what deduplicated ones give, and no sort by evidence is needed; one hop reads the roots' edges."""
+    raw = [(f"n{i}", f"n{i * j % 7}", t, tier, e) for i in range(7) for j in (1, 2, 3) for t in ("calls", "imports") for tier, e in ((1 + (i + j) % 4, "a"), (1 + i * j % 4, "b"))]
+    edges = spark.createDataFrame(raw, "src string, dst string, type string, tier int, evidence string")
+    roots = spark.createDataFrame([("n3",), ("n3",), ("n9",)], "node string")
+    for hops in (0, 1, 2, 3):
+        for direction in ("in", "out", "both"):
+            rows = lambda e: sorted(tuple(r) for r in graph.traverse(e, roots, hops, ("calls", "imports"), 2, direction).collect())  # noqa: B023, E731
+            assert rows(edges) == rows(graph.deduplicated(edges))
+    from corpusloom.plans import graph_plans
+
+    steps = []
+    keep = graph.materialise
+    graph.materialise = lambda df, name: (steps.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1]
+    try:
+        graph_plans.trace_consumers(spark, "/root/testdata/sf0.001")
+    finally:
+        graph.materialise = keep
+    assert "steps" not in dict(steps) and not any("SortAggregate" in plan or "evidence" in plan for _, plan in steps)
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("q", x, i + 1) for i, x in enumerate("axdyz")], "query string, item string, pos int")
     gold = spark.createDataFrame([("q", x, 1) for x in "abcd"], "query string, item string, grade int")
