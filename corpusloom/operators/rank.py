@@ -1,7 +1,7 @@
 """Ranked retrieval: BM25, path and symbol coverage, dense cosine, reciprocal-rank fusion, a linear re-scorer.
 
 Query terms are few and known on the driver, so postings of a query are made by filtering the corpus's tokens to them
-before any shuffle: the corpus-wide part is one scan with a partial sum.
+before any shuffle: the corpus-wide part is one scan, which writes each document's length and hits.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import distinct_tokens, tokenize
 from ..functions.vector import dot
+from ..sources.shared import materialise
 
 K1, B, RRF_K = 1.2, 0.75, 60
 SYMBOL_COVERAGE, PATH_COVERAGE, DENSE_TERMS, DENSE_K = 0.67, 0.6, 5, 64
@@ -42,19 +43,30 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """n, avgdl."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avgdl"))
+    return length_stats(docs.select(F.size("tokens").alias("dl")))
 
 
-def matched(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, dl, term, tf of the query's distinct terms only. The rows that leave the scan are those with a term."""
+def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, dl, hits (the query's terms, as often as they occur) of all documents, written once: statistics and postings
+    come from it, so that texts are cut into tokens once."""
     wanted = F.array(*map(F.lit, dict.fromkeys(terms)))
-    hits = F.filter("tokens", lambda t: F.array_contains(wanted, t))
-    return docs.select("doc_id", F.size("tokens").alias("dl"), hits.alias("hits")).filter(F.size("hits") > 0).select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return materialise(docs.select("doc_id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("hits")), "counted")
+
+
+def matched(rows: DataFrame) -> DataFrame:
+    """doc_id, dl, term, tf of the query's distinct terms only, from counted()."""
+    return rows.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def length_stats(rows: DataFrame) -> DataFrame:
+    """n, avgdl, from lengths (dl)."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
 
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, score over 0. Statistics are the whole corpus's."""
-    return bm25_scores(matched(docs, terms), corpus_stats(docs))
+    rows = counted(docs, terms)
+    return bm25_scores(matched(rows), length_stats(rows))
 
 
 def bm25_scores(postings: DataFrame, stats: DataFrame) -> DataFrame:

@@ -80,6 +80,13 @@ def test_bm25(spark):
     assert not rank.dense_allowed(["a"], list("abcde")) and rank.dense_allowed(["a", "b"], list("abcde"))
 
 
+def test_bm25_cuts_texts_once(spark):
+    """Statistics and postings read what one pass over the texts wrote."""
+    docs = rank.with_tokens(spark.createDataFrame([(0, "cat dog cat"), (1, None)], "doc_id long, text string"))
+    assert "regexp" in docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in rank.bm25(docs, ["cat"])._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_span_merge(spark):
     df = spark.createDataFrame([("k", 1, 3), ("k", 4, 5), ("k", 7, 9), ("j", 7, 9)], "k string, start long, end long")
     assert sorted(tuple(r) for r in spans.merge_spans(df, ["k"]).collect()) == [("j", 7, 9), ("k", 1, 5), ("k", 7, 9)]
