@@ -1,9 +1,7 @@
 """A kept index: gram postings for search, token postings for ranking, written once and read by key.
 
-Token postings are written in ranges of term and document and sorted, so that the terms of a query, pushed to the Parquet
-scan, leave out the files and row groups without them. Gram postings are lists by segment, a few megabytes of texts that one
-task reads: each task writes its segments sorted by gram, so no pair of gram and blob is shuffled, and the grams of a query
-leave out the pages without them. Grams are three bytes, in hex. An index without a path lies in the shared folder.
+Postings are lists by segment, the texts that a task reads in one go: each task writes its segments sorted by gram or term, so
+no pair of key and text is shuffled, and the keys of a query, pushed to the Parquet scan, leave out the pages without them. Grams are three bytes, in hex. An index without a path lies in the shared folder.
 """
 
 from __future__ import annotations
@@ -30,7 +28,7 @@ class GramIndex:
 
 @dataclass(frozen=True)
 class TokenIndex:
-    """postings: term, doc_id, dl, tf; stats: n, avgdl."""
+    """postings: term, docs (doc_id, dl, tf of a segment), and a row a segment without a term, of all its documents; stats: n, avgdl."""
 
     postings: DataFrame
     stats: DataFrame
@@ -181,12 +179,41 @@ def search(index: GramIndex, files: DataFrame, pattern: str, ignore_case: bool =
     return grep.regex(files if near is None else files.join(near, "blob_sha", "left_semi"), pattern, ignore_case)
 
 
+def _token_lists():
+    """As _segments(), by value."""
+
+    def cut(batches):
+        """Arrow batches of (doc_id, dl, tokens) as rows (term, docs): a batch is a segment."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, dl, tokens = batch.columns
+            n = len(batch)
+            if not n:
+                continue
+            flat = tokens.flatten().dictionary_encode()
+            owner = np.repeat(np.arange(n), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            found, tf = np.unique(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32 | owner, return_counts=True)
+            code, at = found >> 32, found & 0xFFFFFFFF
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+            docs = lambda rows, tf: pa.StructArray.from_arrays([ids.take(pa.array(rows)), dl.take(pa.array(rows)), pa.array(tf, pa.int64())], ["doc_id", "dl", "tf"])
+            whole = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), docs(np.arange(n), np.zeros(n, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, flat.dictionary.type), whole], ["term", "docs"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(code)].astype(np.int32)), docs(at, tf))
+            terms = flat.dictionary.take(pa.array(code[starts]))
+            for i in range(0, len(starts), 10_000):
+                yield pa.RecordBatch.from_arrays([terms.slice(i, 10_000), lists.slice(i, 10_000)], ["term", "docs"])
+
+    return cut
+
+
 def build_tokens(docs: DataFrame, path: str | None = None) -> TokenIndex:
-    """The token index of documents (doc_id, tokens)."""
-    stats = _stored(rank.corpus_stats(docs), path, "token_stats")
-    rows = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    rows = rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    return TokenIndex(_stored(rows, path, "token_postings"), stats)
+    """The token index of documents (doc_id, tokens), cut into tokens once."""
+    rows = docs.select("doc_id", F.size("tokens").alias("dl"), "tokens").mapInArrow(_token_lists(), f"term string, docs array<struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, dl: int, tf: bigint>>")
+    postings = _stored(rows.sortWithinPartitions("term"), path, "token_postings")
+    stats = rank.length_stats(postings.filter("term IS NULL").select(F.explode("docs.dl").alias("dl")))
+    return TokenIndex(postings, _stored(stats, path, "token_stats"))
 
 
 def load_tokens(spark: SparkSession, path: str) -> TokenIndex:
@@ -195,4 +222,5 @@ def load_tokens(spark: SparkSession, path: str) -> TokenIndex:
 
 def bm25(index: TokenIndex, terms: list[str]) -> DataFrame:
     """doc_id, score over 0, from the postings of the query's terms alone."""
-    return rank.bm25_scores(index.postings.filter(F.col("term").isin(list(dict.fromkeys(terms)))), index.stats)
+    hits = index.postings.filter(F.col("term").isin(list(dict.fromkeys(terms)))).select("term", F.inline("docs"))
+    return rank.bm25_scores(hits.groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf")), index.stats)
